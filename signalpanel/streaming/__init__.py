@@ -1,0 +1 @@
+"""Structured Streaming front ends of batch operators."""
