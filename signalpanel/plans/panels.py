@@ -43,7 +43,7 @@ def j6_forward(s: SparkSession, d: str) -> DataFrame:
 
 def _bench(s: SparkSession, d: str) -> DataFrame:
     p = panel(s, d)
-    index = p.groupBy("date").agg(F.round(F.avg("price") + 1e-8, 6).alias("price")).select(F.lit(0).cast("bigint").alias("ticker"), "date", "price")
+    index = p.groupBy("date").agg(F.round(F.avg("price") + 1e-8, 6).alias("price")).select(F.lit(-1).cast("bigint").alias("ticker"), "date", "price")
     return P.base_returns(p.unionByName(index))
 
 
@@ -51,7 +51,7 @@ def r5_labels(s: SparkSession, d: str) -> DataFrame:
     e, p = events(s, d), _bench(s, d)
     out = None
     for kind in ("CAR", "realized_volatility"):
-        one = P.build_labels(e, p, 0, 1, 20, kind, ["doc_id"]).withColumn("target", F.lit(f"{kind}_1_20"))
+        one = P.build_labels(e, p, -1, 1, 20, kind, ["doc_id"]).withColumn("target", F.lit(f"{kind}_1_20"))
         one = one.select("doc_id", "target", "window_start", "window_end", "label_value", "failure")
         out = one if out is None else out.unionByName(one)
     return _round(out)
