@@ -76,31 +76,31 @@ _SEEDS = {lang: {fold(w) for w in words.split()} for lang, words in SEEDS.items(
 
 
 def _count_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, lang, n): by the received label, once, and by the function words of a sentence, at a quarter."""
+    """(word, lang, n): texts by the received label, and by the function words of a sentence at a half; a long text counts once."""
     for batch in batches:
         n: Counter = Counter()
         for text, label in zip(batch["text"], label_language(batch["label"])):
-            t = clean(text)
+            t, received, seeded = clean(text), set(), set()
             for a, b in sentences(t):
                 words = [p for m in _UNIT.finditer(t, a, b) if not _IS_CJK.match(m[0]) for p in _parts(m[0])]
                 if label in LATIN:
-                    n.update(dict.fromkeys(((w, label) for w in words), 1.0))
+                    received.update((w, label) for w in words)
                 if len(words) >= MIN_WORDS and (lang := seed_language(words)):
-                    n.update(dict.fromkeys(((w, lang) for w in words), 0.25))
+                    seeded.update((w, lang) for w in words)
+            n.update(dict.fromkeys(received, 1.0))
+            n.update(dict.fromkeys(seeded, 0.5))
         yield pd.DataFrame([(w, lang, float(c)) for (w, lang), c in n.items()], columns=["word", "lang", "n"])
 
 
 def _count_again(model: dict[str, tuple[float, ...]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, lang, n) by the languages in which sentences are whole under ``model``."""
+    """(word, lang, n): texts by the languages in which the word's sentences are whole under ``model``."""
     scorer = Scorer(model)
     for batch in batches:
         n: Counter = Counter()
         for text in batch["text"]:
             t = clean(text)
             words, _, whole = scorer.label(t)
-            for w, _, k, cjk in words:
-                if not cjk and whole.get(k) in LATIN:
-                    n.update(dict.fromkeys(((p, whole[k]) for p in _parts(w)), 1.0))
+            n.update({(p, whole[k]) for w, _, k, cjk in words if not cjk and whole.get(k) in LATIN for p in _parts(w)})
         yield pd.DataFrame([(w, lang, float(c)) for (w, lang), c in n.items()], columns=["word", "lang", "n"])
 
 
