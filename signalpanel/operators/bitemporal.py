@@ -34,7 +34,7 @@ def locate_versions(
     cell_us = seconds_per_cell * 1_000_000
     keep = [c for c in events.columns if c != out]
     at_us = us(F.col(f"`{known_at}`")) if known_at else F.lit(0).cast("long")
-    e = events.select(*keep, F.col(f"`{key}`").alias("_k"), F.unix_date(F.col(f"`{day}`").cast("date")).alias("_d"), at_us.alias("_a"))
+    e = events.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{key}`").alias("_k"), F.unix_date(F.col(f"`{day}`").cast("date")).alias("_d"), at_us.alias("_a"))
     e = e.withColumns({"_dc": _cell(F.col("_d"), days_per_cell), "_ac": _cell(F.col("_a"), cell_us)})
     known = us(recorded_from) if recorded_from is not None else F.lit(_US_LOW)
     v = versions.select(
@@ -66,7 +66,7 @@ def locate_versions(
     found = e.join(grid, ["_k", "_dc", "_ac"], "left")
     strip = F.element_at(F.filter("regions", lambda x: x["a0"] <= F.col("_a")), -1)
     p = F.when(F.col("regions").isNotNull(), F.element_at(F.filter(strip["days"], lambda x: x["d0"] <= F.col("_d")), -1)["p"])
-    return found.select(*keep, p.alias(out))
+    return found.select("_row.*", p.alias(out))
 
 
 def _cell(c: Column, size: int) -> Column:

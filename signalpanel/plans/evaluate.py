@@ -103,7 +103,7 @@ ORACLES = {
     "A5_A6_ic_statistics": f"""{_SER}, dev as (select *, rank_ic - avg(rank_ic) over (partition by model_id, role) e, row_number() over (partition by model_id, role order by event_date) i from ser),
       cov as (select a.model_id, a.role, l.l, sum(a.e * b.e) c from dev a join range(0, 6) l(l) on true join dev b on a.model_id = b.model_id and a.role = b.role and b.i = a.i - l.l group by 1, 2, 3),
       base as (select model_id, role, count(*) n_dates, avg(rank_ic) m, {_T.format("rank_ic")} t from ser group by 1, 2),
-      var as (select model_id, role, sum(case when l = 0 then c / n_dates else 2 * (1 - l / 6.0) * c / n_dates end) v from cov join base using (model_id, role) group by 1, 2)
+      var as (select model_id, role, sum(case when l = 0 then c / n_dates else 2 * greatest(1 - l / (least(5, n_dates - 1) + 1.0), 0) * c / n_dates end) v from cov join base using (model_id, role) group by 1, 2)
       select model_id, role, n_dates, round(m, 6) mean_rank_ic, round(t, 6) t_stat, round(m / sqrt(greatest(v, 0) / n_dates), 6) newey_west_t from base join var using (model_id, role)""",
     "A7_all_splits": f"""with {_RANKS_G}, m as (select model_id, model, role, {_ERR}, {_C.format("ry", "rp")} rank_ic from ranked group by 1, 2, 3)
       select model, role, count(*) n_splits, cast(sum(n) as bigint) n, round(sqrt(sum(rmse * rmse * n) / sum(n)), 6) rmse, round(sum(mae * n) / sum(n), 6) mae, round(sum(r2 * n) / sum(n), 6) r2, round(sum(directional_accuracy * n) / sum(n), 6) directional_accuracy,

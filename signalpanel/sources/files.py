@@ -29,9 +29,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine): lines that don't parse go to the quarantine as text; blank lines are skipped."""
     full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    cols = full.fieldNames()
-    df = spark.read.schema(StructType([*full.fields, *StructType.fromDDL(f"{CORRUPT} string").fields])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.where(F.col(CORRUPT).isNull()).select(*cols), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    wide = StructType([*full.fields, *StructType.fromDDL(f"{CORRUPT} string").fields])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    df = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    return df.where(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.`{c}`") for c in full.fieldNames()]), df.where(F.col(f"r.{CORRUPT}").isNotNull()).select(F.col(f"r.{CORRUPT}"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False) -> DataFrame:
