@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from signalpanel.functions.text import squeeze
 from signalpanel.operators.zones import zone_names, zone_years
+from signalpanel.session import spread
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? ?([aApP]\.?[mM]\.?(?![A-Za-z]))? ?(.*)"
 _MONTH = r"([A-Za-z]{3,9})\.?"
@@ -52,7 +53,7 @@ def offset_seconds(zone: Column) -> Column:
 
 
 def parse_time_text(value: Column) -> Column:
-    """struct<instant_us, f> of a squeezed timestamp text; null where it has none of the known forms.
+    """struct<instant_us, f> of a squeezed timestamp text; both null where it has none of the known forms.
 
     instant_us is given for epoch numbers (10 digits seconds, 13 milli-, 16 microseconds); otherwise f holds the texts of year,
     month, day, hour, minute, second, fraction, am/pm mark and zone.
@@ -61,10 +62,9 @@ def parse_time_text(value: Column) -> Column:
     fields = F.lit(None).cast("array<string>")
     for pattern, order in reversed(_FORMATS):
         fields = F.when(s.rlike(pattern), F.split(F.regexp_replace(s, pattern, "|".join(f"${k}" if k else "" for k in order)), r"\|")).otherwise(fields)
-    return F.when(
-        s.rlike(r"^(\d{10}|\d{13}|\d{16})$"),
-        F.struct((s.try_cast("long") * F.when(F.length(s) == 10, 1_000_000).when(F.length(s) == 13, 1_000).otherwise(1)).alias("instant_us"), F.lit(None).cast("array<string>").alias("f")),
-    ).when(fields.isNotNull(), F.struct(F.lit(None).cast("long").alias("instant_us"), fields.alias("f")))
+    scale = F.when(F.length(s) == 10, 1_000_000).when(F.length(s) == 13, 1_000).otherwise(1)
+    epoch = F.when(s.rlike(r"^(\d{10}|\d{13}|\d{16})$"), s.try_cast("long") * scale)
+    return F.struct(epoch.alias("instant_us"), fields.alias("f"))
 
 
 def _wall(f: Column) -> tuple[Column, Column, Column]:
@@ -92,7 +92,7 @@ def resolve_instants(df: DataFrame, value: str, zone: str, out: str = "instant_u
     Any number of extra columns pass through; columns named like an output are replaced. No shuffle: the interval table is
     of fixed size and broadcast.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, spread(df)
     keep = [c for c in df.columns if c not in (out, f"{out}_match")]
     p = "__ts_"
     key = lambda c: F.regexp_replace(F.lower(squeeze(c)), r"[_ ]+", " ")

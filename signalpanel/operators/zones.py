@@ -11,6 +11,7 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,13 @@ def zone_key(name: str) -> str:
     return " ".join(name.lower().replace("_", " ").split())
 
 
+@lru_cache(maxsize=1)
 def _samples() -> list[datetime]:
-    """Instants dense enough that from 1970 to 2038 no two changes of a region fall between neighbours; later ones repeat by rule."""
+    """Instants 14 days apart from 1970 to 2038, as some regions suspend summer time for a month; 120 before and after, where offsets repeat by rule."""
     out, t = [], _FIRST
     while t < _LAST:
         out.append(t)
-        t += timedelta(days=21 if 1970 <= t.year < 2038 else 91)
+        t += timedelta(days=14 if 1970 <= t.year < 2038 else 120)
     return [*out, _LAST]
 
 
@@ -62,11 +64,10 @@ def _changes(zone: ZoneInfo, samples: list[datetime]) -> tuple[tuple[int, int],
 def _tables() -> tuple[pd.DataFrame, pd.DataFrame]:
     ids: dict[tuple, int] = {}
     names: dict[str, int] = {}
-    samples = _samples()
     for name in sorted(available_timezones()):
         if name.startswith(("posix/", "right/")) or name in ("localtime", "Factory", "posixrules"):
             continue
-        names.setdefault(zone_key(name), ids.setdefault(_changes(ZoneInfo(name), samples), len(ids)))
+        names.setdefault(zone_key(name), ids.setdefault(_changes(ZoneInfo(name), _samples()), len(ids)))
     for alias, name in ALIASES.items():
         if (key := zone_key(name)) in names:
             names.setdefault(alias, names[key])
@@ -83,7 +84,7 @@ def _tables() -> tuple[pd.DataFrame, pd.DataFrame]:
 
 def zone_names(spark: SparkSession) -> DataFrame:
     """zone_name (as :func:`zone_key`), zone_id: equal histories share an id."""
-    return spark.createDataFrame(_tables()[0], "zone_name string, zone_id int")
+    return spark.createDataFrame(pa.Table.from_pandas(_tables()[0].astype({"zone_id": "int32"}), preserve_index=False))
 
 
 def zone_years(spark: SparkSession, first: int = 1900, last: int = 2101) -> DataFrame:
@@ -93,7 +94,7 @@ def zone_years(spark: SparkSession, first: int = 1900, last: int = 2101) -> Data
     Intervals are exploded to the years they touch, so that a wall time finds its few candidates by equality.
     """
     year = lambda c: F.year(F.timestamp_seconds(F.least(F.greatest(c, F.lit(-2208988800)), F.lit(4133980799))))
-    spans = spark.createDataFrame(_tables()[1], "zone_id int, local_from long, local_to long, gap_to long, offset_s int")
+    spans = spark.createDataFrame(pa.Table.from_pandas(_tables()[1].astype({"zone_id": "int32", "offset_s": "int32"}), preserve_index=False))
     return (
         spans.select("*", F.explode(F.sequence(year(F.col("local_from")), year(F.col("gap_to")))).alias("local_year"))
         .where(F.col("local_year").between(first, last))
