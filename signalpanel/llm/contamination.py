@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalpanel.llm.normal import clean, fold
+from signalpanel.session import spread
 
 #: Parameters: canonical words in a window; share of an item's window weight that makes a candidate; items in a broadcast block.
 WINDOW, CANDIDATE_SHARE, BLOCK_ITEMS = 5, 0.08, 2_000
@@ -218,7 +219,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     rows = [r for r in rows if words_of(r[1])]
     kinds = (docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString())
     schema = f"doc {kinds[0]}, item {kinds[1]}, share double, n_words int, n_stretches int, n_slots int, slots_alike boolean"
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    source = spread(docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")))
     out = spark.createDataFrame([], schema)
     for k in range(0, len(rows), BLOCK_ITEMS):
         shared = spark.sparkContext.broadcast(rows[k : k + BLOCK_ITEMS])

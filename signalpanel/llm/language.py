@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalpanel.llm.normal import clean, fold
-from signalpanel.session import cut
+from signalpanel.session import cut, spread
 
 #: Function words by which sentences of the sample are first assigned.
 SEEDS = {
@@ -249,5 +249,5 @@ def text_languages(df: DataFrame, doc_id: str, text: str, label: str | None = No
             yield pd.DataFrame(rows, columns=["id", "span", "lang", "confidence", "n_units", "n_chars", "whole"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    out = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInPandas(spans, f"id {kind}, span int, lang string, confidence double, n_units int, n_chars int, whole boolean")
+    out = spread(df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))).mapInPandas(spans, f"id {kind}, span int, lang string, confidence double, n_units int, n_chars int, whole boolean")
     return out.withColumnRenamed("id", doc_id)
