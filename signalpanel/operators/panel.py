@@ -155,3 +155,20 @@ def asof_with_fallback(rows: DataFrame, keys: list[str], time: str, at: Column,
     """Aggregate: the last value at or before ``at``, else the first one."""
     t, v = F.col(time), F.col(value)
     return F.coalesce(F.max_by(v, F.when(t <= at, t)), F.min_by(v, t))
+
+
+def month_ends(panel: DataFrame) -> DataFrame:
+    """rebalance: the last price date of each month, with month (its first day)."""
+    return panel.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("rebalance"))
+
+
+def expiring_signals(signals: DataFrame, key: str, day: str, order: str, rebalances: DataFrame, max_age_days: int = 370) -> DataFrame:
+    """For each rebalance and key the latest signal of at most ``max_age_days``; of several on a day the last by ``order``.
+
+    A signal holds from its day to the next one's or its expiry, so it is exploded only to the months of that span (at most 14) and meets the
+    month's rebalance by equality: no pairing of all dates with all keys.
+    """
+    w = Window.partitionBy(key).orderBy(day, order)
+    s = signals.withColumn("_next", F.lead(day).over(w)).withColumn("_until", F.least(F.date_add(day, max_age_days), F.coalesce(F.date_sub("_next", 1), F.lit("9999-12-31").cast("date"))))
+    s = s.where(F.col("_until") >= F.col(day)).withColumn("month", F.explode(F.sequence(F.trunc(day, "month"), F.trunc("_until", "month"), F.expr("interval 1 month"))))
+    return s.join(F.broadcast(rebalances), "month").where((F.col("rebalance") >= F.col(day)) & (F.col("rebalance") <= F.col("_until"))).drop("_next", "_until", "month")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalpanel.operators import panel as P
-from signalpanel.plans.base import EVENTS_SQL, META_SQL, PANEL_SQL, events, meta, panel
+from signalpanel.plans.base import EVENTS_SQL, PANEL_SQL, events, meta, panel
 from signalpanel.plans.evaluate import _round
 from signalpanel.session import table
 
@@ -69,10 +69,13 @@ def f8_targets(s: SparkSession, d: str) -> DataFrame:
 
 def j7_expiring(s: SparkSession, d: str) -> DataFrame:
     """Latest signal per ticker with age of at most 370 days at each month's last price date."""
-    days = panel(s, d).groupBy(F.year("date").alias("y"), F.month("date").alias("m")).agg(F.max("date").alias("rebalance"))
-    left = days.select("rebalance").join(meta(s, d).select("ticker"), how="cross")  # dates x tickers: both are reference lists
     signals = events(s, d).select("ticker", "event_date", "yhat", "doc_id")
-    return P.asof_backward(left, signals, "ticker", "rebalance", "event_date", ["yhat", "doc_id"], 370, "doc_id").where("doc_id is not null")
+    return P.expiring_signals(signals, "ticker", "event_date", "doc_id", P.month_ends(panel(s, d))).select("ticker", "rebalance", "yhat", "doc_id")
+
+
+def j7_asof(s: SparkSession, d: str) -> DataFrame:
+    """Last price at or before each event, at most 30 days old."""
+    return P.asof_backward(events(s, d).select("ticker", "event_date", "doc_id"), panel(s, d), "ticker", "event_date", "date", ["date", "price"], 30)
 
 
 def j8_fallback(s: SparkSession, d: str) -> DataFrame:
@@ -107,7 +110,7 @@ bf as (select d.event_date, min(i.pos) p from (select distinct event_date from e
 
 QUERIES = {
     "R1_build_panel": r1_panel, "A30_duplicate_keys": a30_duplicates, "W4_R2_returns": w4_returns, "R3_delisting": r3_delisting, "J6_R4_W5_forward_windows": j6_forward, "R5_labels": r5_labels, "R9_J5_R8_splits": r9_splits,
-    "F8_parse_target": f8_targets, "J7_asof_expiring": j7_expiring, "J8_asof_fallback": j8_fallback, "J15_W6_W8_next_date": j15_next, "J18_U6_missing_days": j18_missing_days, "W4_monthly_returns": w10_mean_by_month,
+    "F8_parse_target": f8_targets, "J7_asof_expiring": j7_expiring, "J7_asof_price": j7_asof, "J8_asof_fallback": j8_fallback, "J15_W6_W8_next_date": j15_next, "J18_U6_missing_days": j18_missing_days, "W4_monthly_returns": w10_mean_by_month,
 }
 ORACLES = {
     "R1_build_panel": "select 'S' || l_suppkey ticker, cast(l_shipdate as date) date, round(max(l_extendedprice), 6) price from lineitem group by 1, 2",
@@ -123,6 +126,7 @@ ORACLES = {
       select doc_id, 'test_' || y split_id, role, case when window_start <= event_date then 'fail' when (role = 'train' and window_end >= v0 - 20) or (role = 'validation' and window_end >= s0 - 20) then 'purged' else 'pass' end status from x where role is not null""",
     "F8_parse_target": "with n as (select distinct ['CAR_', 'realized_volatility_', 'beta_'][c_custkey % 3 + 1] || c_custkey % 4 || '_' || c_custkey % 7 t, c_custkey % 3 k, cast(c_custkey % 4 as int) a, cast(c_custkey % 7 as int) b from customer), o as (select *, k < 2 and a >= 1 and b >= a ok from n) select t, case when ok then ['CAR', 'realized_volatility'][k + 1] end kind, case when ok then a end \"start\", case when ok then b end \"end\" from o",
     "J7_asof_expiring": f"with {PANEL_SQL}, {EVENTS_SQL}, reb as (select max(date) rebalance from panel group by year(date), month(date)) select s_suppkey ticker, rebalance, arg_max(yhat, (event_date, doc_id)) yhat, arg_max(doc_id, (event_date, doc_id)) doc_id from supplier cross join reb join events0 e on e.ticker = s_suppkey and e.event_date <= rebalance and rebalance - e.event_date <= 370 group by 1, 2",
+    "J7_asof_price": f"with {PANEL_SQL}, {EVENTS_SQL} select e.ticker, event_date, doc_id, case when event_date - p.date <= 30 then p.date end date, case when event_date - p.date <= 30 then price end price from events0 e asof left join panel p on p.ticker = e.ticker and p.date <= e.event_date",
     "J8_asof_fallback": f"with {PANEL_SQL}, p as (select *, make_date(1998, 1, cast(ticker % 28 + 1 as int)) at_day from panel) select ticker, coalesce(arg_max(price, date) filter (where date <= at_day), arg_min(price, date)) price from p group by 1",
     "J15_W6_W8_next_date": f"with {PANEL_SQL}, days as (select distinct date from panel), n as (select date, coalesce(lead(date) over (order by date), date) next_date from days) select max(date) rebalance, arg_max(next_date, date) next_date from n group by date_trunc('month', date)",
     "J18_U6_missing_days": f"with {PANEL_SQL}, days as (select date from panel group by 1 having count(distinct ticker) >= 3), m as (select s_suppkey ticker, date from supplier cross join days except select ticker, date from panel) select ticker, count(*) n_missing, min(date) first_missing from m group by 1",
