@@ -121,14 +121,17 @@ def _scores(counts: DataFrame) -> dict[str, tuple[float, ...]]:
     return out
 
 
-def word_scores(df: DataFrame, text: str, label: str | None) -> dict[str, tuple[float, ...]]:
+def word_scores(df: DataFrame, doc_id: str, text: str, label: str | None) -> dict[str, tuple[float, ...]]:
     """The model: scores of at most ``MAX_WORDS`` words, the most frequent.
 
-    Counted over the ``SAMPLE_TEXTS`` texts of smallest hash, so that the model is bounded and the same however the rows lie.
+    Counted over the ``SAMPLE_TEXTS`` rows of smallest hash of id and text, so that the model is bounded and the same however the rows lie. A
+    hash threshold for half as many again is applied first, where the rows lie, so that only about that many are ever sorted.
     """
     t = F.col(f"`{text}`")
     received = F.col(f"`{label}`") if label else F.lit(None).cast("string")
-    sample = df.where(t.isNotNull()).select(t.alias("text"), received.alias("label"), F.xxhash64(t).alias("h")).orderBy("h", "text", "label").limit(SAMPLE_TEXTS)
+    rows = df.where(t.isNotNull()).select(t.alias("text"), received.alias("label"), F.pmod(F.xxhash64(f"`{doc_id}`", t), F.lit(1 << 40)).alias("h"))
+    share = min(1.0, 1.5 * SAMPLE_TEXTS / max(1, df.count()))
+    sample = rows.where(F.col("h") < int(share * (1 << 40))).orderBy("h", "text", "label").limit(SAMPLE_TEXTS)
     rows = cut(sample.select("text", "label").repartition(16))
     schema = "word string, lang string, n double"
     shared = df.sparkSession.sparkContext.broadcast(_scores(rows.mapInPandas(_count_first, schema)))
@@ -177,7 +180,8 @@ class Scorer:
 
     def label(self, t: str) -> tuple[list[tuple], list[tuple[str, float]], dict[int, str]]:
         """(word, score, sentence, Japanese), (language, lead over the next) of the units of a cleaned text, and the languages of whole sentences."""
-        units = [(m[0], None, k, True) if _IS_CJK.match(m[0]) else (m[0], self.score(m[0]), k, False) for k, (a, b) in enumerate(sentences(t)) for m in _UNIT.finditer(t, a, b)]
+        ranges = sentences(t)
+        units = [(m[0], None, k, True) if _IS_CJK.match(m[0]) else (m[0], self.score(m[0]), k, False) for k, (a, b) in enumerate(ranges) for m in _UNIT.finditer(t, a, b)]
         labels: list[tuple[str, float]] = [("ja", 3.0)] * len(units)
         latin = [i for i, u in enumerate(units) if not u[3]]
         if latin:
@@ -199,9 +203,9 @@ class Scorer:
             if chars and (chars >= MIN_CHARS // 2 or len(own) < 2 * MIN_WORDS) and sum(not units[i][3] for i in own) < 2 * MIN_WORDS:
                 for i in own:
                     labels[i] = ("ja", 3.0)
-                if chars >= MIN_CHARS - 4:
+                if len(t[slice(*ranges[k])].strip()) >= MIN_CHARS:
                     whole[k] = "ja"
-            elif known and len(own) >= MIN_WORDS - 1:
+            elif known and len(own) >= MIN_WORDS - 1 and len(_WORD.findall(t, *ranges[k])) >= MIN_WORDS:  # a number may be one of the words
                 lang, n = known.most_common(1)[0]
                 if n >= 3 and n >= SHARE * known.total():
                     whole[k] = lang
@@ -238,7 +242,7 @@ def text_languages(df: DataFrame, doc_id: str, text: str, label: str | None = No
     Japanese characters). Repeated texts and ids are labelled alike, row by row. Extra columns are ignored. Map-only, apart from the
     fit on the bounded sample; the model (at most ``MAX_WORDS`` words) is broadcast.
     """
-    shared = df.sparkSession.sparkContext.broadcast(word_scores(df, text, label))
+    shared = df.sparkSession.sparkContext.broadcast(word_scores(df, doc_id, text, label))
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
