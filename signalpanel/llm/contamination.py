@@ -29,9 +29,9 @@ MIN_SHARE, MIN_STRETCH = 0.4, 12
 UNITS = frozenset("percent prozent cent ciento procent thousand million millions billion tausend milliers miles millones mille eur usd euro euros dollar dollars kg km tons units stuck unidades unites".split())
 _NUM, _UNIT_MARK, _NAME = "0", "1", "2"
 
-_APOSTROPHE = re.compile(r"(?<=\w)['’‘ʼ`´′](?=\w)")
-_HYPHEN = re.compile(r"(?<=\w)[-‐-―−]\s*-?(?=\w)")
-_DIGITS = re.compile(r"(?<=\d)[.,'’  \s](?=\d)")
+_APOSTROPHE = re.compile(r"['’‘ʼ`´′](?<=\w.)(?=\w)")
+_HYPHEN = re.compile(r"[-‐-―−](?<=\w.)\s*-?(?=\w)")
+_DIGITS = re.compile(r"[.,'’  \s](?<=\d.)(?=\d)")
 _WORDS = re.compile(r"[^\W_]+")
 _CAPITALS = re.compile(r"[^\W\d_a-zß-öø-ÿ][\w'’]+(?:\s+[^\W\d_a-zß-öø-ÿ][\w'’]+)+")
 
@@ -55,18 +55,23 @@ def name_words(texts: list[str]) -> frozenset[str]:
     return frozenset(names - lower)
 
 
+def placeholder(w: str, names: frozenset[str]) -> str:
+    """Typed placeholder of a number, unit or name word; other words stand for themselves."""
+    return _NUM if w[0].isdigit() or w[-1].isdigit() else _UNIT_MARK if w in UNITS else _NAME if w in names else w
+
+
 def canonical(words: list[str], names: frozenset[str]) -> list[str]:
-    """Typed placeholders for numbers, units and names; a run of name words is one name."""
+    """Words with placeholders; a run of name words is one name."""
     out: list[str] = []
     for w in words:
-        c = _NUM if w[0].isdigit() or w[-1].isdigit() else _UNIT_MARK if w in UNITS else _NAME if w in names else w
+        c = placeholder(w, names)
         if c != _NAME or not out or out[-1] != _NAME:
             out.append(c)
     return out
 
 
 def windows(tokens: list[str]) -> list[str]:
-    return [" ".join(tokens[k : k + WINDOW]) for k in range(max(1, len(tokens) - WINDOW + 1))] if tokens else []
+    return [" ".join(tokens[k : k + WINDOW]) for k in range(len(tokens) - WINDOW + 1)]
 
 
 class Index:
@@ -85,19 +90,37 @@ class Index:
             for w in s:
                 self.where[w].append(k)
         self.where = dict(self.where)
+        #: Placeholder of every word that items have, and of all units.
+        self.canon = {w: placeholder(w, self.names) for s in self.words for w in s} | dict.fromkeys(UNITS, _UNIT_MARK)
         self.number: dict[str, int] = {}
         self.codes = [np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int32) for words in self.words]
 
     def candidates(self, words: list[str]) -> list[int]:
         """Items of whose window weight the words hold the candidate share."""
         held: dict[int, float] = defaultdict(float)
-        for w in set(windows(canonical(words, self.names))):
-            if (at := self.where.get(w)) is not None:
-                weight = self.weight[w]
-                for k in at:
-                    held[k] += weight
+        for w in self._shared(words):
+            weight = self.weight[w]
+            for k in self.where[w]:
+                held[k] += weight
         return [k for k, x in held.items() if x >= CANDIDATE_SHARE * self.total[k]]
 
+    def _shared(self, words: list[str]) -> set[str]:
+        """The items' windows that the words have: only runs of words that items have at all can hold any."""
+        found: set[str] = set()
+        run: list[str] = []
+        known = self.canon.get
+        for w in words:
+            c = known(w)
+            if c is None:
+                c = _NUM if w[0].isdigit() or w[-1].isdigit() else ""
+            if not c:
+                run = []
+            elif c != _NAME or not run or run[-1] != _NAME:
+                run.append(c)
+                if len(run) >= WINDOW and (key := " ".join(run[-WINDOW:])) in self.where:
+                    found.add(key)
+        return found
+
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int, int, bool]]:
         words = words_of(text)
         found = []
@@ -150,25 +173,22 @@ def align(item: list[str], doc: list[str]) -> tuple[int, int, list[tuple[str, st
     words = [w for w, x in zip(doc, near) if x]
     b = b[near]
     m = len(b)
-    size, start = np.zeros((n + 2, m + 2), np.int32), np.zeros((n + 2, m + 2), np.int64)
-    step = np.zeros((n + 2, m + 2), np.int8)
+    # words of the best stretch that ends in a cell, times unit, plus the cell where it starts
+    unit = (n + 1) * (m + 1)
+    cell = np.zeros((n + 2, m + 2), np.int64)
     hits = [np.flatnonzero(b == k) for k in range(len(number))]
     for i in range(n):
         j = hits[a[i]]
         if len(j):
-            before = np.stack([size[i + 1, j + 1], size[i, j], size[i, j + 1], size[i + 1, j]])
-            which = before.argmax(0)
-            at = np.arange(len(j))
-            best = before[which, at]
-            origin = np.stack([start[i + 1, j + 1], start[i, j], start[i, j + 1], start[i + 1, j]])[which, at]
-            size[i + 2, j + 2] = best + 1
-            start[i + 2, j + 2] = np.where(best > 0, origin, i * (m + 1) + j)
-            step[i + 2, j + 2] = np.where(best > 0, which + 1, 0)
+            one, two = cell[i + 1], cell[i]
+            before = np.maximum(np.maximum(one[j + 1], one[j]), np.maximum(two[j + 1], two[j]))
+            cell[i + 2, j + 2] = np.where(before >= unit, before, i * (m + 1) + j) + unit
     ends: dict[int, tuple[int, int, int]] = {}
-    for i, j in zip(*np.nonzero(size >= least)):
-        o = int(start[i, j])
-        if o not in ends or ends[o][0] < size[i, j]:
-            ends[o] = (int(size[i, j]), int(i) - 2, int(j) - 2)
+    at = np.nonzero(cell >= least * unit)
+    for i, j, v in zip(at[0].tolist(), at[1].tolist(), cell[at].tolist()):
+        s, o = divmod(v, unit)
+        if o not in ends or ends[o][0] < s:
+            ends[o] = (s, i - 2, j - 2)
     runs = sorted((i1, j1, *divmod(o, m + 1), s) for o, (s, i1, j1) in ends.items())
     best: list[tuple[int, int]] = []  # words in the best chain that ends with the run, and the run before
     for k, (_, _, i0, j0, s) in enumerate(runs):
@@ -180,10 +200,17 @@ def align(item: list[str], doc: list[str]) -> tuple[int, int, list[tuple[str, st
     held, count, pairs = best[k][0], 0, []
     while k >= 0:
         i, j = runs[k][0] + 2, runs[k][1] + 2
-        while step[i, j]:
-            if step[i, j] == 2:  # one word replaced
+        while True:
+            v = cell[i, j] - unit
+            if v < unit:
+                break
+            if cell[i - 1, j - 1] == v:
+                i, j = i - 1, j - 1
+            elif cell[i - 2, j - 2] == v:  # one word replaced
                 pairs.append((item[i - 3], words[j - 3]))
-            i, j = (i - 1, j - 1) if step[i, j] == 1 else (i - 2, j - 2) if step[i, j] == 2 else (i - 2, j - 1) if step[i, j] == 3 else (i - 1, j - 2)
+                i, j = i - 2, j - 2
+            else:
+                i, j = (i - 2, j - 1) if cell[i - 2, j - 1] == v else (i - 1, j - 2)
         count += 1
         k = best[k][1]
     return held, count, pairs
@@ -212,7 +239,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
     The items are a stated query set: it comes to the driver and is broadcast in blocks of ``BLOCK_ITEMS``, and the corpus is read once for
     each block. Null, empty and wordless texts carry nothing and wordless items are carried by nothing; repeated rows give repeated
-    results; ids may be null. Extra columns are ignored, whatever their names. Whole texts are searched, however long.
+    results; ids may be null. Items of fewer than ``WINDOW`` canonical words have no window and aren't searched for. Extra columns are ignored, whatever their names. Whole texts are searched, however long.
     """
     spark = docs.sparkSession
     rows = [(r[0], r[1]) for r in items.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).where(f"`{item_text}` is not null").orderBy(item_id, item_text).collect()]

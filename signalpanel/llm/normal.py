@@ -10,8 +10,11 @@ _TAG = re.compile(r"<(/?)(p|br|div|li|ul|ol|tr|table|h[1-6]|section|article|body
 _ANY_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠﻿]")
 #: Hyphen, line end, and perhaps the hyphen again: a word broken over two lines.
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t]*(-?)(?=[^\W\d_])")
-_PAGE = re.compile(r"^[ \t]*(?:[-–—=*]+[ \t]*)?(?:(?:page|seite|p[aá]gina|pag\.|p\.|blz\.|ページ)[ \t]*)?\d{1,4}(?:[ \t]*(?:/|of|von|de|di|van)[ \t]*\d{1,4})?(?:[ \t]*(?:ページ|[-–—=*]+))?[ \t]*$", re.I | re.M)
+_BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_].)[ \t]*\n[ \t]*(-?)(?=[^\W\d_])")
+_PAGE = re.compile(r"^[ \t]*(?:[-–—=*]+[ \t]*)?(?:(?:page|seite|p[aá]gina|pag\.|p\.|blz\.|ページ)[ \t]*)?\d{1,4}(?:[ \t]*(?:/|of|von|de|di|van)[ \t]*\d{1,4})?(?:[ \t]*(?:ページ|[-–—=*]+))?[ \t]*$", re.I)
+_MARKS = re.compile("[\u0300-\u036f]")
+#: Longest page line looked for, in characters.
+_PAGE_CHARS = 40
 _FOLD = str.maketrans({"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
 
@@ -21,9 +24,16 @@ def clean(text: str) -> str:
         text = _ANY_TAG.sub("", _TAG.sub("\n\n", text))
     if "&" in text:
         text = html.unescape(text)
-    text = _INVISIBLE.sub("", text).replace("\r\n", "\n").replace("\r", "\n")
-    text = _BROKEN.sub(r"\1", text)
-    return _PAGE.sub("", text)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "\n" in text:
+        text = _BROKEN.sub(r"\1", text)
+    lines = text.split("\n")
+    if any(len(x) < _PAGE_CHARS and _PAGE.match(x) for x in lines):
+        return "\n".join("" if len(x) < _PAGE_CHARS and _PAGE.match(x) else x for x in lines)
+    return text
 
 
 def fold(text: str) -> str:
@@ -31,5 +41,4 @@ def fold(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFKD", text.translate(_FOLD))
-    return unicodedata.normalize("NFC", "".join(c for c in text if not unicodedata.combining(c) or c in "゙゚"))
+    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_FOLD))))
