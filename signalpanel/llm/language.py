@@ -45,6 +45,7 @@ MIN_WORDS, MIN_CHARS, SHARE = 6, 20, 0.75
 
 _CJK = r"぀-ヿ㐀-䶿一-鿿ｦ-ﾟ"
 _UNIT = re.compile(rf"[{_CJK}ー々]+|(?:(?![{_CJK}])[^\W\d_])+(?:['’](?:(?![{_CJK}])[^\W\d_])+)*")
+_LATIN_UNIT = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _IS_CJK = re.compile(rf"[{_CJK}]")
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”）]*|\n[ \t]*\n\s*")
 _WORD = re.compile(r"\w+")
@@ -99,8 +100,8 @@ def _count_again(model: dict[str, tuple[float, ...]], batches: Iterator[pd.DataF
         n: Counter = Counter()
         for text in batch["text"]:
             t = clean(text)
-            words, _, whole = scorer.label(t)
-            n.update({(p, whole[k]) for w, _, k, cjk in words if not cjk and whole.get(k) in LATIN for p in _parts(w)})
+            words, where, labels, _, whole = scorer.label(t)
+            n.update({(p, whole[k]) for w, k in zip(words, where) if whole.get(k) in LATIN and not _IS_CJK.match(w) for p in _parts(w)})
         yield pd.DataFrame([(w, lang, float(c)) for (w, lang), c in n.items()], columns=["word", "lang", "n"])
 
 
@@ -138,7 +139,7 @@ def word_scores(df: DataFrame, doc_id: str, text: str, label: str | None) -> dic
     return _scores(rows.mapInPandas(lambda batches: _count_again(shared.value, batches), schema))
 
 
-def label_words(scores: np.ndarray, ends: list[bool]) -> np.ndarray:
+def label_words(scores: np.ndarray, ends: np.ndarray | list[bool]) -> np.ndarray:
     """Viterbi path over languages for rows of scores. ends: whether a sentence ended before the word.
 
     Where no run of words gains more in another language than the cheapest switch costs, the best path can't switch, and is the
@@ -151,7 +152,7 @@ def label_words(scores: np.ndarray, ends: list[bool]) -> np.ndarray:
         return np.full(len(scores), top)
     best, back = [0.0] * scores.shape[1], []
     k = range(scores.shape[1])
-    for s, end in zip(scores.tolist(), ends):
+    for s, end in zip(scores.tolist(), list(ends)):
         top = max(k, key=best.__getitem__)
         jump = best[top] - (SWITCH_AT_END if end else SWITCH)
         back.append([i if best[i] >= jump else top for i in k])
@@ -165,66 +166,100 @@ def label_words(scores: np.ndarray, ends: list[bool]) -> np.ndarray:
 
 
 class Scorer:
-    """Labels texts by a model; keeps the scores of words as written."""
+    """Labels texts by a model; keeps the scores of words as written, in rows of one matrix (row 0: no evidence)."""
 
     def __init__(self, model: dict[str, tuple[float, ...]]):
         self.model, self.seen = model, {}
+        self.rows = np.zeros((1024, len(LATIN)))
+        self.used = 1
 
-    def score(self, word: str) -> tuple[float, ...] | None:
-        if word not in self.seen:
+    def row(self, word: str) -> int:
+        r = self.seen.get(word)
+        if r is None:
             if len(self.seen) > 500_000:
-                self.seen.clear()
+                self.seen, self.used = {}, 1
             known = [s for p in _parts(word) if (s := self.model.get(p))]
-            self.seen[word] = tuple(map(sum, zip(*known))) if known else None
-        return self.seen[word]
-
-    def label(self, t: str) -> tuple[list[tuple], list[tuple[str, float]], dict[int, str]]:
-        """(word, score, sentence, Japanese), (language, lead over the next) of the units of a cleaned text, and the languages of whole sentences."""
+            r = 0
+            if known:
+                if self.used == len(self.rows):
+                    self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+                r = self.used
+                self.rows[r] = np.sum(known, 0)
+                self.used += 1
+            self.seen[word] = r
+        return r
+
+    def label(self, t: str) -> tuple[list[str], list[int], list[str], list[float], dict[int, str]]:
+        """Words, their sentences, languages, leads over the next language of a cleaned text's units, and the languages of whole sentences."""
         ranges = sentences(t)
-        units = [(m[0], None, k, True) if _IS_CJK.match(m[0]) else (m[0], self.score(m[0]), k, False) for k, (a, b) in enumerate(ranges) for m in _UNIT.finditer(t, a, b)]
-        labels: list[tuple[str, float]] = [("ja", 3.0)] * len(units)
-        latin = [i for i, u in enumerate(units) if not u[3]]
-        if latin:
-            none = (0.0,) * len(LATIN)
-            scores = np.array([units[i][1] or none for i in latin])
-            path = label_words(scores, [j > 0 and units[i][2] != units[latin[j - 1]][2] for j, i in enumerate(latin)])
+        cjk = _IS_CJK.search(t) is not None
+        words, where, k = [], [], 0
+        for m in (_UNIT if cjk else _LATIN_UNIT).finditer(t):
+            while m.start() >= ranges[k][1]:
+                k += 1
+            words.append(m[0])
+            where.append(k)
+        if not words:
+            return [], [], [], [], {}
+        japanese = [_IS_CJK.match(w) is not None for w in words] if cjk else [False] * len(words)
+        latin = [i for i, j in enumerate(japanese) if not j] if cjk else range(len(words))
+        labels, leads, known = ["ja"] * len(words), [3.0] * len(words), [False] * len(words)
+        if len(latin):
+            at = np.array([self.row(words[i]) for i in latin])
+            scores = self.rows[at]
+            sent = np.array([where[i] for i in latin])
+            path = label_words(scores, np.append(False, sent[1:] != sent[:-1]))
             own = scores[np.arange(len(path)), path]
             scores[np.arange(len(path)), path] = -np.inf
-            for i, p, lead in zip(latin, path.tolist(), (own - scores.max(1)).tolist()):
-                labels[i] = (LATIN[p], lead)
+            lead = own - scores.max(1)
+            if not cjk:
+                labels, leads, known = [LATIN[p] for p in path.tolist()], lead.tolist(), (at > 0).tolist()
+                if (path == path[0]).all():  # one language: a sentence is whole if it is long enough
+                    units, evidence = np.bincount(sent, minlength=len(ranges)), np.bincount(sent, at > 0, len(ranges))
+                    ok = np.flatnonzero((units >= MIN_WORDS - 1) & (evidence >= 3))
+                    return words, where, labels, leads, {k: labels[0] for k in ok.tolist() if units[k] >= MIN_WORDS or self._long(t, ranges[k])}
+            else:
+                for i, p, x, r in zip(latin, path.tolist(), lead.tolist(), at.tolist()):
+                    labels[i], leads[i], known[i] = LATIN[p], x, r > 0
         by_sentence: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_sentence.setdefault(u[2], []).append(i)
+        for i, k in enumerate(where):
+            by_sentence.setdefault(k, []).append(i)
         whole: dict[int, str] = {}
         for k, own in by_sentence.items():
-            chars = sum(len(units[i][0]) for i in own if units[i][3])
-            known = Counter(labels[i][0] for i in own if not units[i][3] and units[i][1] is not None)
+            chars = sum(len(words[i]) for i in own if japanese[i])
             # a sentence of Japanese characters is Japanese; Latin words there are names and go with it
-            if chars and (chars >= MIN_CHARS // 2 or len(own) < 2 * MIN_WORDS) and sum(not units[i][3] for i in own) < 2 * MIN_WORDS:
+            if chars and (chars >= MIN_CHARS // 2 or len(own) < 2 * MIN_WORDS) and sum(not japanese[i] for i in own) < 2 * MIN_WORDS:
                 for i in own:
-                    labels[i] = ("ja", 3.0)
+                    labels[i], leads[i] = "ja", 3.0
                 if len(t[slice(*ranges[k])].strip()) >= MIN_CHARS:
                     whole[k] = "ja"
-            elif known and len(own) >= MIN_WORDS - 1 and len(_WORD.findall(t, *ranges[k])) >= MIN_WORDS:  # a number may be one of the words
-                lang, n = known.most_common(1)[0]
-                if n >= 3 and n >= SHARE * known.total():
+                continue
+            evidence = Counter(labels[i] for i in own if known[i])
+            if evidence and len(own) >= MIN_WORDS - 1 and (len(own) >= MIN_WORDS or self._long(t, ranges[k])):
+                lang, n = evidence.most_common(1)[0]
+                if n >= 3 and n >= SHARE * evidence.total():
                     whole[k] = lang
-        return units, labels, whole
+        return words, where, labels, leads, whole
+
+    @staticmethod
+    def _long(t: str, span: tuple[int, int]) -> bool:
+        """Whether the sentence has enough words when numbers count, too."""
+        return len(_WORD.findall(t, *span)) >= MIN_WORDS
 
     def spans(self, text: str | None) -> list[tuple[str, float, int, int, bool]]:
         """(language, confidence, units, characters, has a whole sentence) of each span of a text, in order; none for a text without words."""
         if not text:
             return []
-        units, labels, whole = self.label(clean(text))
+        words, where, labels, leads, whole = self.label(clean(text))
         out: list[list] = []
-        for u, (lang, lead) in zip(units, labels):
+        for w, k, lang, lead in zip(words, where, labels, leads):
             if not out or out[-1][0] != lang:
                 out.append([lang, 0.0, 0, 0, False])
             s = out[-1]
             s[1] += lead
             s[2] += 1
-            s[3] += len(u[0])
-            s[4] = s[4] or whole.get(u[2]) == lang
+            s[3] += len(w)
+            s[4] = s[4] or whole.get(k) == lang
         return [(lang, 1 / (1 + math.exp(-max(-30.0, min(30.0, m)))), n, c, w) for lang, m, n, c, w in out]
 
 
