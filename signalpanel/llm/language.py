@@ -193,19 +193,20 @@ class Scorer:
         """Words, their sentences, languages, leads over the next language of a cleaned text's units, and the languages of whole sentences."""
         ranges = sentences(t)
         cjk = _IS_CJK.search(t) is not None
-        words, where, k = [], [], 0
-        for m in (_UNIT if cjk else _LATIN_UNIT).finditer(t):
-            while m.start() >= ranges[k][1]:
-                k += 1
-            words.append(m[0])
-            where.append(k)
+        words, where, find = [], [], (_UNIT if cjk else _LATIN_UNIT).findall
+        for k, (a, b) in enumerate(ranges):
+            own = find(t, a, b)
+            words += own
+            where += [k] * len(own)
         if not words:
             return [], [], [], [], {}
         japanese = [_IS_CJK.match(w) is not None for w in words] if cjk else [False] * len(words)
         latin = [i for i, j in enumerate(japanese) if not j] if cjk else range(len(words))
         labels, leads, known = ["ja"] * len(words), [3.0] * len(words), [False] * len(words)
         if len(latin):
-            at = np.array([self.row(words[i]) for i in latin])
+            seen = self.seen.get
+            rows = [seen(words[i]) for i in latin]
+            at = np.array([self.row(words[i]) if r is None else r for i, r in zip(latin, rows)] if None in rows else rows)
             scores = self.rows[at]
             sent = np.array([where[i] for i in latin])
             path = label_words(scores, np.append(False, sent[1:] != sent[:-1]))
@@ -252,6 +253,9 @@ class Scorer:
             return []
         words, where, labels, leads, whole = self.label(clean(text))
         out: list[list] = []
+        if words and labels.count(labels[0]) == len(labels):
+            out = [[labels[0], sum(leads), len(words), sum(map(len, words)), bool(whole)]]
+            words = []
         for w, k, lang, lead in zip(words, where, labels, leads):
             if not out or out[-1][0] != lang:
                 out.append([lang, 0.0, 0, 0, False])
