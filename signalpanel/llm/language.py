@@ -176,8 +176,6 @@ class Scorer:
     def row(self, word: str) -> int:
         r = self.seen.get(word)
         if r is None:
-            if len(self.seen) > 500_000:
-                self.seen, self.used = {}, 1
             known = [s for p in _parts(word) if (s := self.model.get(p))]
             r = 0
             if known:
@@ -191,6 +189,8 @@ class Scorer:
 
     def label(self, t: str) -> tuple[list[str], list[int], list[str], list[float], dict[int, str]]:
         """Words, their sentences, languages, leads over the next language of a cleaned text's units, and the languages of whole sentences."""
+        if len(self.seen) > 500_000:  # between texts only, as a text's rows must stay
+            self.seen, self.used = {}, 1
         ranges = sentences(t)
         cjk = _IS_CJK.search(t) is not None
         words, where, find = [], [], (_UNIT if cjk else _LATIN_UNIT).findall
