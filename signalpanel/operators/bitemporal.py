@@ -17,7 +17,7 @@ _US_LOW, _US_HIGH = -(2**62), 2**62
 
 def locate_versions(
     events: DataFrame, versions: DataFrame, key: str, day: str, known_at: str | None, valid_from: Column, valid_to: Column, recorded_from: Column | None, rank: list[Column], payload: str, out: str,
-    days_per_cell: int = 256, seconds_per_cell: int = 256 * 86400,
+    days_per_cell: int = 256, seconds_per_cell: int = 256 * 86400, refine: int = 256, dense: int = 24,
 ) -> DataFrame:
     """``events`` with ``out``: the ``payload`` of the version of the same ``key`` current at (``day``, ``known_at``), or null.
 
@@ -27,7 +27,8 @@ def locate_versions(
     Extra columns pass through; a column named ``out`` is replaced.
 
     Scale: versions meet only grid cells that hold an event of their key. In a cell, versions that cover it wholly are first
-    reduced to the best one (a combinable max); the others begin, end or become known inside the cell, which bounds the regions. A hot
+    reduced to the best one (a combinable max); the others begin, end or become known inside the cell, which bounds the regions. A cell with
+    more than ``dense`` of those is cut again, ``refine`` times each way, so that a key with very many versions has small cells, too. A hot
     key is spread over its cells, both as versions and as events, and events carry no version list longer than a cell's.
     """
     us = lambda c: F.unix_micros(c.cast("timestamp"))
@@ -35,38 +36,54 @@ def locate_versions(
     keep = [c for c in events.columns if c != out]
     at_us = us(F.col(f"`{known_at}`")) if known_at else F.lit(0).cast("long")
     e = events.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{key}`").alias("_k"), F.unix_date(F.col(f"`{day}`").cast("date")).alias("_d"), at_us.alias("_a"))
-    e = e.withColumns({"_dc": _cell(F.col("_d"), days_per_cell), "_ac": _cell(F.col("_a"), cell_us)})
+    fine_d, fine_a = max(1, days_per_cell // refine), max(1, cell_us // refine)
+    e = e.withColumns({"_dc": _cell(F.col("_d"), days_per_cell), "_ac": _cell(F.col("_a"), cell_us), "_df": _cell(F.col("_d"), fine_d), "_af": _cell(F.col("_a"), fine_a)})
     known = us(recorded_from) if recorded_from is not None else F.lit(_US_LOW)
     v = versions.select(
         F.col(f"`{key}`").alias("_k"), F.coalesce(F.unix_date(valid_from.cast("date")), F.lit(_DAY_LOW)).alias("d0"), F.coalesce(F.unix_date(valid_to.cast("date")), F.lit(_DAY_HIGH)).alias("d1"),
         known.alias("a0"), F.struct(*[c.alias(f"r{k}") for k, c in enumerate(rank)], F.col(f"`{payload}`").alias("p")).alias("r"),
     ).where("_k is not null and a0 is not null and d0 <= d1").distinct()
-    cells = e.where("_k is not null and _dc is not null and _ac is not null").select("_k", "_dc", "_ac").distinct()
-    c0, a0 = F.col("_dc") * days_per_cell, F.col("_ac") * cell_us
-    c1, a1 = c0 + days_per_cell - 1, a0 + cell_us - 1
-    met = cells.join(v, "_k").where((F.col("d0") <= c1) & (F.col("d1") >= c0) & (F.col("a0") <= a1))
-    # clipped to the cell, so that versions that cover it wholly look alike
-    met = met.select("_k", "_dc", "_ac", F.greatest("d0", c0).alias("d0"), F.least("d1", c1).alias("d1"), F.greatest("a0", a0).alias("a0"), "r", ((F.col("d0") <= c0) & (F.col("d1") >= c1) & (F.col("a0") <= a0)).alias("whole"))
-    best = F.max(F.when(F.col("whole"), F.col("r")))
-    grid = met.groupBy("_k", "_dc", "_ac").agg(best.alias("best"), F.collect_set(F.when(~F.col("whole"), F.struct("a0", "d0", "d1", "r"))).alias("part"))
-    below = F.col("best").isNull()
-    grid = grid.select("_k", "_dc", "_ac", "best", F.filter("part", lambda x: below | (x["r"] > F.col("best"))).alias("part"))
-    # disjoint regions: strips of recorded time between the instants at which a version becomes known, cut at the days where validity changes
+    placed = e.where("_k is not null and _dc is not null and _ac is not null")
+    coarse, fine = ["_k", "_dc", "_ac"], ["_k", "_dc", "_ac", "_df", "_af"]
+    none = F.lit(None).cast(v.schema["r"].dataType)
+    grid = _reduce(placed.select(*coarse).distinct().join(v.withColumn("best", none), "_k"), coarse, "_dc", days_per_cell, "_ac", cell_us)
+    light = _regions(grid.where(F.size("part") <= dense), coarse)
+    # the best covering version goes along as one that covers the coarse cell, so that no fine cell is without it
+    cover = F.when(F.col("best").isNotNull(), F.array(F.struct(F.col("b0").alias("a0"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("best").alias("r"))))
+    heavy = grid.where(F.size("part") > dense).select(*coarse, none.alias("best"), F.inline(F.concat("part", F.coalesce(cover, F.filter("part", lambda x: F.lit(False))))))
+    heavy = _regions(_reduce(placed.select(*fine).distinct().join(heavy, coarse), fine, "_df", fine_d, "_af", fine_a), fine)
+    found = e.join(light.withColumnRenamed("regions", "_light"), coarse, "left").join(heavy.withColumnRenamed("regions", "_heavy"), fine, "left")
+    # the strip and the day interval in which the point lies are the last that begin at or before it
+    regions = F.coalesce("_light", "_heavy")
+    strip = F.element_at(F.filter(regions, lambda x: x["a0"] <= F.col("_a")), -1)
+    p = F.when(regions.isNotNull(), F.element_at(F.filter(strip["days"], lambda x: x["d0"] <= F.col("_d")), -1)["p"])
+    return found.select("_row.*", p.alias(out))
+
+
+def _reduce(met: DataFrame, keys: list[str], day_cell: str, days: int, known_cell: str, known: int) -> DataFrame:
+    """keys, c0, c1, b0, best, part: for each cell the best version that covers it wholly and the better ones that meet it in part, clipped to it."""
+    c0, b0 = F.col(day_cell) * days, F.col(known_cell) * known
+    c1, b1 = c0 + days - 1, b0 + known - 1
+    met = met.where((F.col("d0") <= c1) & (F.col("d1") >= c0) & (F.col("a0") <= b1))
+    whole = (F.col("d0") <= c0) & (F.col("d1") >= c1) & (F.col("a0") <= b0)
+    clipped = F.struct(F.greatest("a0", b0).alias("a0"), F.greatest(F.col("d0").cast("long"), c0).alias("d0"), F.least(F.col("d1").cast("long"), c1).alias("d1"), "r")
+    grid = met.groupBy(*keys).agg(F.greatest(F.max("best"), F.max(F.when(whole, F.col("r")))).alias("best"), F.collect_set(F.when(~whole, clipped)).alias("part"))
+    grid = grid.withColumns({"c0": c0, "c1": c1, "b0": b0})
+    return grid.withColumn("part", F.filter("part", lambda x: F.col("best").isNull() | (x["r"] > F.col("best"))))
+
+
+def _regions(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, regions: strips of recorded time between the instants at which a version becomes known, cut at the days where validity changes."""
     part, base = F.col("part"), F.col("best")
-    strips = F.array_sort(F.array_distinct(F.concat(F.array(a0), F.transform(part, lambda x: x["a0"]))))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(c0), F.transform(part, lambda x: x["d0"].cast("long")), F.filter(F.transform(part, lambda x: x["d1"].cast("long") + 1), lambda d: d <= c1))))
+    strips = F.array_sort(F.array_distinct(F.concat(F.array("b0"), F.transform(part, lambda x: x["a0"]))))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array("c0"), F.transform(part, lambda x: x["d0"]), F.filter(F.transform(part, lambda x: x["d1"] + 1), lambda d: d <= F.col("c1")))))
 
     def current(a: Column, d: Column) -> Column:
         hit = F.array_max(F.transform(F.filter(part, lambda x: (x["a0"] <= a) & (x["d0"] <= d) & (d <= x["d1"])), lambda x: x["r"]))
         return F.coalesce(hit, base)["p"]
 
     regions = F.transform(F.col("strips"), lambda a: F.struct(a.alias("a0"), F.transform(F.col("cuts"), lambda d: F.struct(d.alias("d0"), current(a, d).alias("p"))).alias("days")))
-    grid = grid.withColumns({"strips": strips, "cuts": cuts}).select("_k", "_dc", "_ac", regions.alias("regions"))
-    # the strip and the day interval in which the point lies are the last that begin at or before it
-    found = e.join(grid, ["_k", "_dc", "_ac"], "left")
-    strip = F.element_at(F.filter("regions", lambda x: x["a0"] <= F.col("_a")), -1)
-    p = F.when(F.col("regions").isNotNull(), F.element_at(F.filter(strip["days"], lambda x: x["d0"] <= F.col("_d")), -1)["p"])
-    return found.select("_row.*", p.alias(out))
+    return grid.withColumns({"strips": strips, "cuts": cuts}).select(*keys, regions.alias("regions"))
 
 
 def _cell(c: Column, size: int) -> Column:

@@ -32,7 +32,7 @@ def test_against_brute_force(spark):
     versions = [(maybe(rnd.choice("abc"), 0.05), n, maybe(day(), 0.05), maybe(at(), 0.05), maybe(day(), 0.4), maybe(day(), 0.6)) for n in range(200)]
     events = [(f"d{n}", maybe(rnd.choice("abcz"), 0.05), maybe(day(), 0.05), maybe(at(), 0.05), "r", 1) for n in range(400)]
     want = brute(events, versions)
-    for kw in ({}, {"days_per_cell": 7, "seconds_per_cell": 9 * 86400}):
+    for kw in ({}, {"days_per_cell": 7, "seconds_per_cell": 9 * 86400}, {"dense": 1}, {"dense": 0, "refine": 5}):
         got = run(spark, events, versions + versions[:20], **kw)
         assert {r.doc: r.rec for r in got.collect()} == want
         assert got.columns == ["doc", "k", "day", "known", "regions", "_row", "rec"]
