@@ -93,7 +93,9 @@ def f31(s: SparkSession, d: str) -> DataFrame:
 
 
 def r32(s: SparkSession, d: str) -> DataFrame:
-    return _round(I.bootstrap_rank_ic(scored(s, d).where("role = 'test'"), ["model"], "event_date", 500, 42))
+    """All-splits rank correlation of the test rows: split, event date and ticker clusters, plain and industry-neutral, 2,000 draws."""
+    rows = scored(s, d).where("role = 'test'").withColumn("industry", E.industry_key("industry", "sector"))
+    return _round(I.bootstrap_rank_ic(rows, ["model"], "split_id", {"split": "split_id", "event_date": "event_date", "ticker": "ticker"}))
 
 
 _BASE = f"with {SCORED_SQL}, src as (select model_id, event_date, ticker, arg_max(y, doc_id) y, arg_max(yhat, doc_id) yhat, arg_max(sector, doc_id) sector, arg_max(cap, doc_id) cap from scored where role = 'test' group by 1, 2, 3), "
