@@ -120,33 +120,117 @@ def ridge(rows: DataFrame, keys: list[str]) -> DataFrame:
     return scored.join(fallback, [*keys, "alpha"]).select(*keys, "doc_id", "role", "y", "yhat", "alpha")
 
 
-def truncated_svd(entries: DataFrame, scope: list[str], doc: str, term: str, value: str, components: int) -> DataFrame:
-    """scope, doc, component, score: the leading min(components, rows - 1, columns - 1) left singular vectors times singular values.
-
-    entries are (doc, term, value) triplets over a vocabulary of bounded size. The term-by-term Gram matrix is summed in parallel from
-    documents and its eigenvectors found per scope; documents are then projected, so no task holds the documents. Each vector's
-    sign makes its largest loading positive. Components of documents without entries are absent.
+def truncated_svd(entries: DataFrame, scope: list[str], doc: str, term: str, value: str, components: int, fit: str = "true", passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
+    """scope, doc, component, score: documents on the leading min(components, rows - 1, columns - 1) right singular vectors of the fit rows.
+
+    entries are (doc, term, value) triplets; the condition ``fit`` says which rows the vectors are found on (train documents), and all are
+    projected. Block Lanczos with ten spare vectors, full orthogonalisation, restarts and a fixed seed, scope by scope: a pass multiplies X'X by one
+    terms-by-vectors block in parallel over documents; the last is when each eigenpair's residual is within ``tolerance`` of its own eigenvalue, or the
+    pass number ``passes``. No term pairs are built and no task holds the documents; a task holds terms x (components + 10) numbers, the driver ``depth`` times that. Each vector's
+    sign makes its largest loading positive. Components of documents without entries are absent. Runs jobs when called; document rows stay cached.
     """
-    e = entries.select(*scope, F.col(doc).alias("d"), F.col(term).cast("int").alias("t"), F.col(value).alias("v"))
-    per_doc = e.groupBy(*scope, "d").agg(F.collect_list(F.struct("t", "v")).alias("x"))  # at most the vocabulary
-    pair = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b["t"] >= a["t"]), lambda b: F.struct(a["t"].alias("i"), b["t"].alias("j"), (a["v"] * b["v"]).alias("p")))))
-    gram = per_doc.select(*scope, F.inline(pair)).groupBy(*scope, "i", "j").agg(F.sum("p").alias("g"))
-    n = per_doc.groupBy(*scope).agg(F.count("*").alias("n"))
+    from pyspark import StorageLevel
+
+    spark = entries.sparkSession
+    e = entries.select(*scope, F.col(doc).alias("d"), F.expr(fit).alias("_fit"), F.col(term).cast("int").alias("t"), F.col(value).cast("double").alias("v"))
+    pairs = F.sort_array(F.collect_list(F.struct("t", "v")))
+    per_doc = e.groupBy(*scope, "d", "_fit").agg(pairs.alias("x")).select(*scope, "d", "_fit", F.col("x.t").alias("t"), F.col("x.v").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    train = per_doc.where("_fit")
+    sizes = train.select(*scope, F.array_max("t").alias("m")).groupBy(*scope).agg(F.count("*").alias("n"), F.max("m").alias("m")).collect()
+    # terms that no fit row has must not count as columns
+    columns = {tuple(r)[:-1]: r["c"] for r in train.select(*scope, F.explode("t").alias("t")).groupBy(*scope).agg(F.countDistinct("t").alias("c")).collect()}
     kinds = ", ".join(f"{k} {entries.schema[k].dataType.simpleString()}" for k in scope)
-
-    def eigen(pdf: pd.DataFrame) -> pd.DataFrame:
-        terms = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        m = np.zeros((len(terms), len(terms)))
-        i, j = np.searchsorted(terms, pdf["i"]), np.searchsorted(terms, pdf["j"])
-        m[i, j] = m[j, i] = pdf["g"]
-        k = max(0, min(components, int(pdf["n"].iloc[0]) - 1, len(terms) - 1))
-        _, vec = np.linalg.eigh(m)
-        rows = []
-        for c in range(k):
-            v = vec[:, -1 - c]
-            v = v * np.sign(v[np.argmax(np.abs(v))])
-            rows += [(*[pdf[s].iloc[0] for s in scope], c, int(t), float(x)) for t, x in zip(terms, v)]
-        return pd.DataFrame(rows, columns=[*scope, "component", "t", "load"])
-
-    loads = gram.join(F.broadcast(n), scope).groupBy(*scope).applyInPandas(eigen, f"{kinds}, component int, t int, load double")
-    return e.join(loads, [*scope, "t"]).groupBy(*scope, "d", "component").agg(F.sum(F.col("v") * F.col("load")).alias("score")).withColumnRenamed("d", doc)
+    rng, block, todo, done = np.random.default_rng(0), 1000, {}, {}
+    for r in sorted(sizes, key=lambda r: str(tuple(r))):
+        key = tuple(r)[: len(scope)]
+        k = max(0, min(components, r["n"] - 1, columns[key] - 1))
+        if k:
+            todo[key] = (k, np.linalg.qr(rng.standard_normal((r["m"] + 1, min(k + 10, r["m"] + 1))))[0])
+
+    def multiplied(q: dict) -> dict:
+        held = spark.sparkContext.broadcast(q)
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = {}
+            for pdf in batches:
+                for key, g in pdf.groupby(scope, sort=False):
+                    key = tuple(x.item() if hasattr(x, "item") else x for x in key)
+                    if key not in held.value:
+                        continue
+                    own = held.value[key]
+                    z = acc.setdefault(key, np.zeros_like(own))
+                    for at in range(0, len(g), 64):
+                        part = g.iloc[at : at + 64]
+                        t, v = np.concatenate(part["t"].to_numpy()), np.concatenate(part["v"].to_numpy())
+                        n = part["t"].map(len).to_numpy()
+                        y = np.add.reduceat(v[:, None] * own[t], np.cumsum(n) - n)
+                        order = np.argsort(t, kind="stable")
+                        new = np.flatnonzero(np.diff(t[order], prepend=-1))
+                        z[t[order][new]] += np.add.reduceat((v[:, None] * np.repeat(y, n, axis=0))[order], new)
+            rows = [(*key, b, z[b * block : (b + 1) * block].tobytes()) for key, z in acc.items() for b in range(-(-len(z) // block))]
+            for at in range(0, len(rows), 8):
+                yield pd.DataFrame(rows[at : at + 8], columns=[*scope, "b", "z"])
+
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            z = np.sum([np.frombuffer(x) for x in sorted(pdf["z"])], axis=0)
+            return pdf.iloc[:1].assign(z=[z.tobytes()])
+
+        out = train.select(*scope, "t", "v").mapInPandas(partial, f"{kinds}, b int, z binary").groupBy(*scope, "b").applyInPandas(total, f"{kinds}, b int, z binary")
+        got = {k: np.zeros_like(v) for k, v in q.items()}
+        for r in out.toLocalIterator():
+            own = got[tuple(r)[: len(scope)]]
+            own[r["b"] * block : (r["b"] + 1) * block] = np.frombuffer(r["z"]).reshape(-1, own.shape[1])
+        held.destroy()
+        return got
+
+    for key, (k, first) in todo.items():
+        basis, width = [first], first.shape[1]
+        proj = np.zeros((0, 0))  # the Gram matrix in the basis
+        for i in range(passes):
+            z = multiplied({key: basis[-1]})[key]
+            spark.sparkContext._jvm.System.gc()  # a pass's shuffle files go once its plan is collected; they would pile up else
+            h = np.concatenate([q.T @ z for q in basis])
+            old = len(proj)
+            grown = np.zeros((len(h), len(h)))
+            grown[:old, :old], grown[:, old:], grown[old:, :] = proj, h, h.T
+            proj = (grown + grown.T) / 2
+            val, w = np.linalg.eigh(proj)
+            val, w = val[::-1], w[:, ::-1]
+            for _ in range(2):
+                for q in basis:
+                    z = z - q @ (q.T @ z)
+            left, sing, _ = np.linalg.svd(z, full_matrices=False)
+            off = np.linalg.norm((left.T @ z) @ w[old:, :k], axis=0)
+            left = left[:, sing > 1e-9 * val[0]]
+            for q in basis:
+                left = left - q @ (q.T @ left)
+            if i == passes - 1 or not left.shape[1] or np.all(off <= tolerance * np.maximum(val[:k], 1e-9 * val[0])):
+                break
+            if len(basis) < depth:
+                basis.append(np.linalg.qr(left)[0])
+                continue
+            # the best vectors so far are kept, with what the last pass adds to them
+            keep, ends = w[:, :width], np.cumsum([0, *[q.shape[1] for q in basis]])
+            best = sum(q @ keep[x:y] for q, x, y in zip(basis, ends, ends[1:]))
+            basis, proj = [best, np.linalg.qr(left)[0]], np.diag(val[:width])
+        ends = np.cumsum([0, *[q.shape[1] for q in basis]])
+        vec = sum(q @ w[x:y, :k] for q, x, y in zip(basis, ends, ends[1:]))
+        done[key] = vec * np.sign(vec[np.argmax(np.abs(vec), axis=0), np.arange(k)])
+    loads = spark.sparkContext.broadcast(done)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, g in pdf.groupby(scope, sort=False):
+                key = tuple(x.item() if hasattr(x, "item") else x for x in key)
+                if key not in loads.value:
+                    continue
+                v = loads.value[key]
+                know = [x < len(v) for x in g["t"]]  # a term after the last fit term has no loading
+                y = np.stack([b[m] @ v[t[m]] for t, b, m in zip(g["t"], g["v"], know)])
+                n, k = y.shape
+                out = pd.DataFrame({"d": np.repeat(g["d"].to_numpy(), k), "component": np.tile(np.arange(k, dtype=np.int32), n), "score": y.ravel()})
+                for c, x in reversed(list(zip(scope, key))):
+                    out.insert(0, c, x)
+                yield out
+
+    return per_doc.select(*scope, "d", "t", "v").mapInPandas(project, f"{kinds}, d {e.schema['d'].dataType.simpleString()}, component int, score double").withColumnRenamed("d", doc)

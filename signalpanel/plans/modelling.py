@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalpanel.operators import models as M
-from signalpanel.operators.features import tfidf
 from signalpanel.plans.base import EVENTS_SQL, META_SQL, events, meta
 from signalpanel.plans.evaluate import _round
-from signalpanel.plans.texts import _vocab, docs
+from signalpanel.plans.texts import COMPONENTS, split_docs, split_tfidf
 from signalpanel.session import table
 
 
@@ -35,8 +34,9 @@ def r19(s: SparkSession, d: str) -> DataFrame:
 
 
 def r15(s: SparkSession, d: str) -> DataFrame:
-    v = tfidf(docs(s, d).withColumn("scope", F.col("doc_id") % 2), ["scope"], "text", _vocab(s, d), 1, 1)
-    return _round(M.truncated_svd(v, ["scope"], "doc_id", "term_index", "value", 8), 5)
+    """Vectors from the train documents of each split, scores for all its documents."""
+    v = split_tfidf(s, d).join(split_docs(s, d).select("split_id", "doc_id", "role"), ["split_id", "doc_id"])
+    return _round(M.truncated_svd(v, ["split_id"], "doc_id", "term_index", "value", COMPONENTS, "role = 'train'"), 5)
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
