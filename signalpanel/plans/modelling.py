@@ -27,10 +27,14 @@ def a10(s: SparkSession, d: str) -> DataFrame:
     return _round(M.industry_mean(_rows(s, d), ["split_id"], "industry").select("doc_id", "role", "yhat"))
 
 
-def r19(s: SparkSession, d: str) -> DataFrame:
+def _vectors(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d).select("doc_id", "yhat")
     rows = _rows(s, d).join(e, "doc_id").withColumn("x", F.array(F.col("yhat2").cast("double"), F.col("yhat").cast("double"), (F.col("ticker") % 10).cast("double"))).drop("yhat")
-    return _round(M.ridge(rows.select("split_id", "role", "doc_id", "y", "x"), ["split_id"]))
+    return rows.select("split_id", "role", "doc_id", "y", "x")
+
+
+def r19(s: SparkSession, d: str) -> DataFrame:
+    return _round(M.ridge(_vectors(s, d), ["split_id"]))
 
 
 def r15(s: SparkSession, d: str) -> DataFrame:
@@ -62,15 +66,8 @@ def r17(s: SparkSession, d: str) -> DataFrame:
 
 
 def r20(s: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on the train rows, predictions for validation and test rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    e = events(s, d).select("doc_id", F.col("yhat").cast("double").alias("f1"))
-    rows = _rows(s, d).join(e, "doc_id").withColumns({"f2": F.col("yhat2").cast("double"), "f3": (F.col("ticker") % 10).cast("double"), "label": F.col("y").cast("double")})
-    v = VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="features", handleInvalid="skip").transform(rows)
-    model = GBTRegressor(maxIter=10, maxDepth=3, seed=42).fit(v.where("role = 'train'"))
-    return _round(model.transform(v.where("role <> 'train'")).select("doc_id", "role", "y", F.col("prediction").alias("yhat")))
+    """Boosted trees: three grid points, the choice by validation rank correlation, a refit for test rows."""
+    return _round(M.boosting(_vectors(s, d), ["split_id"]))
 
 
 _R = f"{EVENTS_SQL}, {META_SQL}, rws as (select doc_id, e.ticker, event_date, y, industry, sector, case when year(event_date) <= 1998 then 'train' when year(event_date) = 1999 then 'validation' else 'test' end role from events0 e join meta m on m.ticker = e.ticker where year(event_date) <= 2000)"
