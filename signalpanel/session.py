@@ -1,7 +1,9 @@
-"""Session helpers: table access, checkpoint folder, broadcast of reference tables of fixed size."""
+"""Session helpers: table access, checkpoint folder, even work on small inputs."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) set a local one."""
+    """Use the folder named in ``spark.checkpoint.dir``. Where that is unset, local mode gets one of its own, deleted at its end; a cluster is refused."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="signalpanel-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="signalpanel-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,7 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def even(df: DataFrame) -> DataFrame:
+    """``df`` in tasks of equal numbers of rows where one file is all there is: a lone small file would leave all cores but one idle.
+
+    Decided by the files of the scan alone, without a job; two files or more stay as they lie.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, over as many partitions as there are cores where a small unsplittable file would leave them idle; larger inputs stay as they lie."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """Former name of :func:`even`."""
+    return even(df)
