@@ -12,9 +12,8 @@ _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠﻿]")
 #: Hyphen, line end, and perhaps the hyphen again: a word broken over two lines.
 _BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_].)[ \t]*\n[ \t]*(-?)(?=[^\W\d_])")
 _PAGE = re.compile(r"^[ \t]*(?:[-–—=*]+[ \t]*)?(?:(?:page|seite|p[aá]gina|pag\.|p\.|blz\.|ページ)[ \t]*)?\d{1,4}(?:[ \t]*(?:/|of|von|de|di|van)[ \t]*\d{1,4})?(?:[ \t]*(?:ページ|[-–—=*]+))?[ \t]*$", re.I)
-_MARKS = re.compile("[\u0300-\u036f]")
-#: Longest page line looked for, in characters.
-_PAGE_CHARS = 40
+#: Longest page line looked for, in characters without the blanks and dashes around it.
+_PAGE_CHARS, _BLANK = 40, " \t-–—=*"
 _FOLD = str.maketrans({"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
 
@@ -31,14 +30,16 @@ def clean(text: str) -> str:
     if "\n" in text:
         text = _BROKEN.sub(r"\1", text)
     lines = text.split("\n")
-    if any(len(x) < _PAGE_CHARS and _PAGE.match(x) for x in lines):
-        return "\n".join("" if len(x) < _PAGE_CHARS and _PAGE.match(x) else x for x in lines)
-    return text
+    pages = [k for k, x in enumerate(lines) if x and (len(x) < _PAGE_CHARS or len(x.strip(_BLANK)) < _PAGE_CHARS) and _PAGE.match(x)]
+    for k in pages:
+        lines[k] = ""
+    return "\n".join(lines) if pages else text
 
 
 def fold(text: str) -> str:
-    """Lower case, compatibility forms, no accents."""
+    """Lower case, compatibility forms, no accents: all combining marks vanish but the Kana's."""
     text = text.lower()
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_FOLD))))
+    parts = unicodedata.normalize("NFKD", text.translate(_FOLD))
+    return unicodedata.normalize("NFC", "".join(c for c in parts if not unicodedata.combining(c) or c in "\u3099\u309a"))
