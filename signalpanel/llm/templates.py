@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
 from dataclasses import dataclass
 from itertools import product
 
@@ -22,7 +21,6 @@ PLAIN, NUMBER, UNIT, NAME, END = range(5)
 #: Words for units of measure, as folded.
 UNITS = frozenset("percent prozent cent ciento procent thousand million millions billion tausend milliers miles millones mille eur usd euro euros dollar dollars kg km tons units stuck unidades unites".split())
 
-_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]+")
 #: A word with its inner apostrophes, hyphens (over a line end, too) and marks between digits, all of which vanish; or the end of a sentence.
 _TOKEN = re.compile(r"[^\W_]+(?:(?:['’‘ʼ`´′]|[-‐-―−]\s*-?|(?<=\d)[.,\s](?=\d))[^\W_]+)*|[.!?:;。！？]")
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -103,8 +101,6 @@ class Reader:
         ids, sizes, caseless, get, add, find = [], [], [], self.number.get, self.add, _TOKEN.findall
         for text in texts:
             t = clean(text) if text else ""
-            if not t.isascii():
-                t = _MARKS.sub("", unicodedata.normalize("NFC", t))
             own = find(t)
             ids += [n if (n := get(w)) is not None else add(w) for w in own]
             sizes.append(len(own))
