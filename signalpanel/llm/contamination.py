@@ -86,6 +86,8 @@ def item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: All shapes of windows, of one word up to ``WINDOW``.
 SHAPES = [s for k in range(1, WINDOW + 1) for s in shapes(k)]
+#: Offset of each of a shape's words, by shape; the last again where it has fewer.
+OFFSETS = np.array([[s[min(k, len(s) - 1)] for s in SHAPES] for k in range(WINDOW)])
 
 
 class Text:
@@ -223,10 +225,8 @@ class Block:
         k, start, kind = k[hit], start[hit], kind[hit]
         at, shape, _ = self._rows(np.unique(k))
         covered = np.zeros(self.total, bool)
-        for s, offsets in enumerate(SHAPES):
-            own = at[shape == s]
-            for o in offsets:
-                covered[own + o] = True
+        for o in range(WINDOW):
+            covered[at + OFFSETS[o, shape]] = True
         c = np.flatnonzero(covered)
         if not len(c):
             return []
@@ -243,17 +243,19 @@ class Block:
         at, shape, row = self._rows(k)
         own = np.flatnonzero(able[self.side[at], self.owner[at]])
         at, shape, start, kind = at[own], shape[own], start[row[own]], kind[row[own]]
-        to_token = np.cumsum(np.isin(np.arange(len(t.code)), t.first)) - 1
-        width = len(t.code) + 1
-        points = []
-        for s, x in {(a, b) for a, b in zip(shape.tolist(), kind.tolist())}:
-            r = np.flatnonzero((shape == s) & (kind == x))
-            a, b, token = at[r], start[r], self.side[at[r]] == 1
-            for o, u in zip(SHAPES[s], SHAPES[x // 2]):
-                # a window of words that meets tokens is free of slots
-                points.append((a + o) * width + np.where(token & (x % 2 == 0), to_token[np.minimum(b + u, len(to_token) - 1)], b + u))
-        points = np.unique(np.concatenate(points))
+        to_token = np.cumsum(np.isin(np.arange(len(t.code)), t.first, assume_unique=True)) - 1
+        width = len(t.code) + 3  # so that no step leads into another row
+        b = start + OFFSETS[:, kind // 2]
+        # a window of words that meets tokens is free of slots
+        pure = (self.side[at] == 1) & (kind % 2 == 0)
+        b[:, pure] = to_token[b[:, pure]]
+        points = np.unique((at + OFFSETS[:, shape]) * width + b)
+        points = points[_in_stretches(points, width, self.least[self.side[points // width], self.owner[points // width]])]
         place, doc = points // width, points % width
+        held = np.zeros(self.need.shape)
+        new = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
+        np.add.at(held, (self.side[new], self.owner[new]), 1)
+        found = found[(held >= self.need)[:, found].any(0)]
         ends = np.searchsorted(place, self.base[:, found] + np.stack([self.lengths[0][found], self.lengths[1][found]]))
         begins = np.searchsorted(place, self.base[:, found])
         return [(n, [np.stack([place[begins[x, k] : ends[x, k]] - self.base[x, n], doc[begins[x, k] : ends[x, k]]]) for x in (0, 1)]) for k, n in enumerate(found.tolist())]
@@ -276,6 +278,25 @@ class Block:
         return out
 
 
+def _in_stretches(points: np.ndarray, width: int, least: np.ndarray) -> np.ndarray:
+    """Which of the agreeing places (item's place times width, plus text's; in order) lie on a path of stretch steps with ``least`` places at least."""
+    steps = [di * width + dj for di in (1, 2) for dj in (1, 2)]
+    most = int(least.max(initial=1))
+
+    def lengths(sign: int) -> np.ndarray:
+        """Places on the longest path up to each place, as far as it matters."""
+        neighbour = []
+        for d in steps:
+            k = np.minimum(np.searchsorted(points, points + sign * d), len(points) - 1)
+            neighbour.append(np.where(points[k] == points + sign * d, k, len(points)))
+        n = np.append(np.ones(len(points), np.int8), 0).astype(np.int8)
+        for _ in range(most - 1):
+            n[:-1] = 1 + np.maximum(np.maximum(n[neighbour[0]], n[neighbour[1]]), np.maximum(n[neighbour[2]], n[neighbour[3]]))
+        return n[:-1].astype(int)
+
+    return lengths(-1) + lengths(1) - 1 >= least
+
+
 def align(item: list[str], doc: list[str], least: int) -> tuple[int, int, list[tuple[int, int]]]:
     """:func:`chain` over all places where the words agree."""
     where: dict[str, list[int]] = defaultdict(list)
