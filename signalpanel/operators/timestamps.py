@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalpanel.functions.text import squeeze
-from signalpanel.operators.zones import zone_names, zone_years
-from signalpanel.session import spread
+from signalpanel.operators.zones import PERIOD, table_year, zone_names, zone_periods
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? ?([aApP]\.?[mM]\.?(?![A-Za-z]))? ?(.*)"
 _MONTH = r"([A-Za-z]{3,9})\.?"
@@ -89,10 +88,10 @@ def resolve_instants(df: DataFrame, value: str, zone: str, out: str = "instant_u
     ``{out}_match``: ``epoch``, ``offset`` (own offset or zone letters), ``unique``, ``ambiguous`` or ``nonexistent``. Wall times
     without a zone of their own are in ``zone``: a region in any usual spelling or a fixed offset; null, blank or ``unknown``
     means UTC. Both are null where the text is null, blank, states no possible date and time, or its zone can't be known.
-    Any number of extra columns pass through; columns named like an output are replaced. No shuffle: the interval table is
-    of fixed size and broadcast.
+    All years from 1 to 9999 have their intervals, to the second. Any number of extra columns pass through; columns named like an output are
+    replaced. No shuffle: the interval table is of fixed size and broadcast.
     """
-    spark, df = df.sparkSession, spread(df)
+    spark = df.sparkSession
     keep = [c for c in df.columns if c not in (out, f"{out}_match")]
     p = "__ts_"
     key = lambda c: F.regexp_replace(F.lower(squeeze(c)), r"[_ ]+", " ")
@@ -107,19 +106,25 @@ def resolve_instants(df: DataFrame, value: str, zone: str, out: str = "instant_u
     zone_text = F.when(F.col(p + "own") != "", key(F.col(p + "own"))).when(F.col(p + "row").isin("", "unknown", "n/a", "na", "none", "null"), F.lit("utc")).otherwise(F.col(p + "row"))
     d = d.withColumn(p + "zone", F.when(F.col(p + "fixed").isNull() & F.col(p + "local").isNotNull(), zone_text))
     d = d.withColumn(p + "zone_s", offset_seconds(F.col(p + "zone")))
-    d = d.withColumn(p + "year", F.when(F.col(p + "zone").isNotNull(), F.year(F.timestamp_seconds(F.col(p + "local")))))
+    # years under rules alone are read at a like year: t is the wall time moved there
+    year = F.get(F.col(p + "p.f"), F.lit(0)).try_cast("int")
+    d = d.withColumn(p + "year", F.when(F.col(p + "zone").isNotNull() & F.col(p + "zone_s").isNull(), year))
+    d = d.withColumn(p + "as", table_year(F.col(p + "year")))
+    start = lambda c: F.unix_date(F.make_date(c, F.lit(1), F.lit(1))).cast("long") * 86400
+    moved = F.when(F.col(p + "year") > F.col(p + "as"), start(F.col(p + "as")) - start(F.col(p + "year"))).otherwise(F.lit(0))
+    d = d.withColumns({p + "t": F.col(p + "local") + moved, p + "period": F.floor(F.col(p + "as") / PERIOD).cast("int")})
     names = zone_names(spark).select(F.col("zone_name").alias(p + "zone"), F.col("zone_id").alias(p + "id"))
-    spans = zone_years(spark).select(F.col("zone_id").alias(p + "id"), F.col("local_year").alias(p + "year"), F.col("spans").alias(p + "spans"))
-    d = d.join(F.broadcast(names), p + "zone", "left").join(F.broadcast(spans), [p + "id", p + "year"], "left")
-    t = F.col(p + "local")
+    spans = zone_periods(spark).select(F.col("zone_id").alias(p + "id"), F.col("period").alias(p + "period"), F.col("spans").alias(p + "spans"))
+    d = d.join(F.broadcast(names), p + "zone", "left").join(F.broadcast(spans), [p + "id", p + "period"], "left")
+    t = F.col(p + "t")
     d = d.withColumn(p + "hits", F.filter(F.col(p + "spans"), lambda x: (x["local_from"] <= t) & (t < x["local_to"])))
     before = F.filter(F.col(p + "spans"), lambda x: (x["local_to"] <= t) & (t < x["gap_to"]))
     hits = F.col(p + "hits")
     span_s = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["offset_s"]).otherwise(F.get(before, F.lit(0))["offset_s"])
     offset = F.coalesce(F.col(p + "fixed"), F.col(p + "zone_s"), span_s)
-    epoch = F.col(p + "p.instant_us")
+    epoch, local = F.col(p + "p.instant_us"), F.col(p + "local")
     how = (
-        F.when(epoch.isNotNull(), "epoch").when(t.isNull() | offset.isNull(), F.lit(None)).when(F.col(p + "fixed").isNotNull() | F.col(p + "zone_s").isNotNull(), "offset")
+        F.when(epoch.isNotNull(), "epoch").when(local.isNull() | offset.isNull(), F.lit(None)).when(F.col(p + "fixed").isNotNull() | F.col(p + "zone_s").isNotNull(), "offset")
         .when(F.size(hits) > 1, "ambiguous").when(F.size(hits) == 1, "unique").otherwise("nonexistent")
     )
-    return d.select(*keep, F.coalesce(epoch, (t - offset) * 1_000_000 + F.col(p + "frac")).alias(out), how.alias(f"{out}_match"))
+    return d.select(*keep, F.coalesce(epoch, (local - offset) * 1_000_000 + F.col(p + "frac")).alias(out), how.alias(f"{out}_match"))

@@ -1,22 +1,32 @@
 """Zone-offset intervals: for each region, the periods in which one offset from UTC holds, in local wall time.
 
-The table's size is fixed by the public zone database (about 600 names, some 250 different histories), not
-by the data, so it may be broadcast.
+The intervals are those of the public zone database's files, to the second: the changes that a file lists, and after them those of the rule
+in its last line, which repeats for ever. The table's size is fixed by the database (about 600 names, some 400 different histories),
+not by the data, so it may be broadcast.
 """
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+import importlib.resources
+import re
+import struct
+from datetime import date, timedelta
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from pathlib import Path
+from zoneinfo import TZPATH, available_timezones
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-_FIRST, _LAST = datetime(1900, 1, 1, tzinfo=UTC), datetime(2100, 1, 1, tzinfo=UTC)
+#: Local years of the table. No file lists a change before the first or after ``RULES``; later years are read at a year of the same
+#: length and first weekday among the last 28, where the rules give the same days.
+FIRST_YEAR, RULES, LAST_YEAR = 1830, 2100, 2128
+#: Years in a period to which intervals are exploded.
+PERIOD = 4
+_DAY = 86400
 
 #: Everyday names of regions that the zone database doesn't list, in the form of :func:`zone_key`.
 ALIASES = {
@@ -36,68 +46,139 @@ def zone_key(name: str) -> str:
     return " ".join(name.lower().replace("_", " ").split())
 
 
-@lru_cache(maxsize=1)
-def _samples() -> list[datetime]:
-    """Instants 14 days apart from 1970 to 2038, as some regions suspend summer time for a month; 120 before and after, where offsets repeat by rule."""
-    out, t = [], _FIRST
-    while t < _LAST:
-        out.append(t)
-        t += timedelta(days=14 if 1970 <= t.year < 2038 else 120)
-    return [*out, _LAST]
-
-
-def _changes(zone: ZoneInfo, samples: list[datetime]) -> tuple[tuple[int, int], ...]:
-    """(start in UTC seconds, offset seconds) for each period; found by sampling, then bisection to the second."""
-    offs = [zone.utcoffset(zone.fromutc(t.replace(tzinfo=zone))) for t in samples]
-    out = [(-(2**40), round(offs[0].total_seconds()))]
-    for k in range(1, len(samples)):
-        if offs[k] != offs[k - 1]:
-            lo, hi = (int((t - _EPOCH).total_seconds()) for t in samples[k - 1 : k + 1])
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if (_EPOCH + timedelta(seconds=mid)).astimezone(zone).utcoffset() == offs[k - 1] else (lo, mid)
-            out.append((hi, round(offs[k].total_seconds())))
+def _file(name: str) -> bytes:
+    for root in TZPATH:
+        if (path := Path(root) / name).is_file():
+            return path.read_bytes()
+    return importlib.resources.files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
+
+
+def _listed(data: bytes) -> tuple[list[tuple[int, int]], int, str]:
+    """(instant, offset from then on) of the changes that a zone file lists, the offset before the first, and the rule after the last."""
+
+    def block(at: int) -> tuple[int, tuple[int, ...]]:
+        n = struct.unpack(">6l", data[at + 20 : at + 44])  # counts of marks, marks, leap seconds, changes, types, letters
+        return at + 44, n
+
+    at, (_, _, leaps, times, types, letters) = block(0)
+    size, rule = 4, ""
+    if data[4:5] >= b"2":
+        at, (utc, std, leaps, times, types, letters) = block(at + 5 * times + 6 * types + letters + 8 * leaps + block(0)[1][0] + block(0)[1][1])
+        size = 8
+        rule = data[at + 9 * times + 6 * types + letters + 12 * leaps + utc + std :].strip(b"\n").decode()
+    when = struct.unpack(f">{times}{'q' if size == 8 else 'l'}", data[at : at + size * times])
+    kind = data[at + size * times : at + (size + 1) * times]
+    offsets = [struct.unpack(">l", data[at + (size + 1) * times + 6 * k :][:4])[0] for k in range(types)]
+    changes = [(t, offsets[k]) for t, k in zip(when, kind)]
+    return [c for c in changes if c[0] > -(2**40)], offsets[0] if not changes or changes[0][0] > -(2**40) else changes[0][1], rule
+
+
+_RULE = re.compile(r"^(?:<[^>]+>|[A-Za-z]+)([-+]?[\d:]+)(?:(?:<[^>]+>|[A-Za-z]+)([-+]?[\d:]+)?,([^,]+),([^,]+))?$")
+
+
+def _seconds(text: str) -> int:
+    sign = -1 if text.startswith("-") else 1
+    return sign * sum(int(x) * 60 ** (2 - k) for k, x in enumerate(text.lstrip("+-").split(":")))
+
+
+def _ruled(when: str, year: int) -> int:
+    """Local seconds since 1970 at which a rule's change comes in a year: ``Mm.w.d``, ``Jn`` or ``n``, and a time of day."""
+    day, _, at = when.partition("/")
+    first = date(year, 1, 1)
+    if day[0] == "M":
+        m, w, d = map(int, day[1:].split("."))
+        start = date(year, m, 1)
+        found = start + timedelta((d - start.isoweekday()) % 7 + 7 * (w - 1))
+        while found.month != m:
+            found -= timedelta(7)
+    elif day[0] == "J":
+        n = int(day[1:])
+        found = first + timedelta(n - 1 + (n > 59 and (year % 4 == 0 and (year % 100 != 0 or year % 400 == 0))))
+    else:
+        found = first + timedelta(int(day))
+    return (found - date(1970, 1, 1)).days * _DAY + (_seconds(at) if at else 7200)
+
+
+@lru_cache(maxsize=None)
+def _by_rule(rule: str) -> tuple[tuple[int, int], ...]:
+    """(instant, offset from then on) by a rule, for the years up to ``LAST_YEAR``."""
+    m = _RULE.match(rule)
+    if not m:
+        return ()
+    usual = -_seconds(m[1])
+    if not m[3]:
+        return ((-(2**41), usual),)
+    summer = -_seconds(m[2]) if m[2] else usual + 3600
+    return tuple(sorted(x for y in range(1970, LAST_YEAR + 2) for x in ((_ruled(m[3], y) - usual, summer), (_ruled(m[4], y) - summer, usual))))
+
+
+def changes(name: str) -> tuple[tuple[int, int], ...]:
+    """(start in UTC seconds, offset seconds) of each period of a region."""
+    listed, first, rule = _listed(_file(name))
+    ends = listed[-1][0] if listed else -(2**40)
+    out = [(-(2**40), first)]
+    for t, offset in [*listed, *(c for c in _by_rule(rule) if c[0] > ends)]:
+        if offset != out[-1][1]:
+            out.append((t, offset))
     return tuple(out)
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[pd.DataFrame, pd.DataFrame]:
+def _tables() -> tuple[pa.Table, pa.Table]:
     ids: dict[tuple, int] = {}
     names: dict[str, int] = {}
     for name in sorted(available_timezones()):
         if name.startswith(("posix/", "right/")) or name in ("localtime", "Factory", "posixrules"):
             continue
-        names.setdefault(zone_key(name), ids.setdefault(_changes(ZoneInfo(name), _samples()), len(ids)))
+        names.setdefault(zone_key(name), ids.setdefault(changes(name), len(ids)))
     for alias, name in ALIASES.items():
         if (key := zone_key(name)) in names:
             names.setdefault(alias, names[key])
     for name in sorted(names):  # the city alone, where nothing else has that name
         if "/" in name:
             names.setdefault(name.rpartition("/")[2], names[name])
-    rows = []
-    for changes, zone_id in ids.items():
-        for k, (start, offset) in enumerate(changes):
-            end, after = changes[k + 1] if k + 1 < len(changes) else (2**40, offset)
-            rows.append((zone_id, start + offset, end + offset, max(end + offset, end + after), offset))
-    return pd.DataFrame(sorted(names.items()), columns=["zone_name", "zone_id"]), pd.DataFrame(rows, columns=["zone_id", "local_from", "local_to", "gap_to", "offset_s"])
+    zone, start, offset = (np.array(x) for x in zip(*((z, t, o) for c, z in ids.items() for t, o in c)))
+    last = np.append(zone[1:] != zone[:-1], True)
+    end = np.where(last, 2**40, np.append(start[1:], 0))
+    after = np.where(last, offset, np.append(offset[1:], 0))
+    rows = pd.DataFrame({"zone_id": zone, "local_from": start + offset, "local_to": end + offset, "gap_to": end + np.maximum(offset, after), "offset_s": offset})
+    # the periods that an interval touches
+    edges = np.array([(date(y, 1, 1) - date(1970, 1, 1)).days * _DAY for y in range(FIRST_YEAR // PERIOD * PERIOD, LAST_YEAR + 2 * PERIOD, PERIOD)])
+    a = np.clip(np.searchsorted(edges, rows["local_from"], side="right") - 1, 0, len(edges) - 2)
+    b = np.clip(np.searchsorted(edges, rows["gap_to"], side="right") - 1, 0, len(edges) - 2)
+    b[rows["gap_to"].to_numpy() < edges[0]] = a[rows["gap_to"].to_numpy() < edges[0]]
+    n = b - a + 1
+    rows = rows.loc[np.repeat(rows.index, n)].assign(period=np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + FIRST_YEAR // PERIOD)
+    rows = rows.sort_values(["zone_id", "period", "local_from"], ignore_index=True)
+    new = np.flatnonzero(rows[["zone_id", "period"]].ne(rows[["zone_id", "period"]].shift()).any(axis=1))
+    spans = pa.StructArray.from_arrays([pa.array(rows[c].to_numpy("int32" if c == "offset_s" else "int64")) for c in ("local_from", "local_to", "gap_to", "offset_s")], ["local_from", "local_to", "gap_to", "offset_s"])
+    spans = pa.ListArray.from_arrays(pa.array(np.append(new, len(rows)).astype("int32")), spans)
+    keys = rows.iloc[new]
+    known = sorted(names.items())
+    return (
+        pa.table({"zone_name": [k for k, _ in known], "zone_id": pa.array([v for _, v in known], pa.int32())}),
+        pa.table({"zone_id": pa.array(keys["zone_id"].to_numpy("int32")), "period": pa.array(keys["period"].to_numpy("int32")), "spans": spans}),
+    )
 
 
 def zone_names(spark: SparkSession) -> DataFrame:
     """zone_name (as :func:`zone_key`), zone_id: equal histories share an id."""
-    return spark.createDataFrame(pa.Table.from_pandas(_tables()[0].astype({"zone_id": "int32"}), preserve_index=False))
+    return spark.createDataFrame(_tables()[0])
 
 
-def zone_years(spark: SparkSession, first: int = 1900, last: int = 2101) -> DataFrame:
-    """One row for each zone history and local year with its offset intervals: spans array<local_from, local_to, gap_to, offset_s>.
+def zone_periods(spark: SparkSession) -> DataFrame:
+    """One row for each zone history and period of ``PERIOD`` local years with its offset intervals: spans array<local_from, local_to, gap_to, offset_s>.
 
     An interval holds in [local_from, local_to) of wall time; [local_to, gap_to) is the wall time skipped after it.
-    Intervals are exploded to the years they touch, so that a wall time finds its few candidates by equality.
+    Intervals are exploded to the periods they touch, so that a wall time finds its few candidates by equality.
     """
-    year = lambda c: F.year(F.timestamp_seconds(F.least(F.greatest(c, F.lit(-2208988800)), F.lit(4133980799))))
-    spans = spark.createDataFrame(pa.Table.from_pandas(_tables()[1].astype({"zone_id": "int32", "offset_s": "int32"}), preserve_index=False))
-    return (
-        spans.select("*", F.explode(F.sequence(year(F.col("local_from")), year(F.col("gap_to")))).alias("local_year"))
-        .where(F.col("local_year").between(first, last))
-        .groupBy("zone_id", "local_year")
-        .agg(F.sort_array(F.collect_list(F.struct("local_from", "local_to", "gap_to", "offset_s"))).alias("spans"))
-    )
+    return spark.createDataFrame(_tables()[1])
+
+
+def table_year(year: Column) -> Column:
+    """The year at which a local year is looked up: itself, the first one for years before, a like one for years under rules alone."""
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    weekday = F.dayofweek(F.make_date(year, F.lit(1), F.lit(1)))
+    like = {(y % 4 == 0, date(y, 1, 1).isoweekday() % 7 + 1): y for y in range(LAST_YEAR, RULES, -1)}
+    pairs = F.create_map(*[F.lit(x) for (is_leap, day), y in sorted(like.items()) for x in (day + 10 * is_leap, y)])
+    return F.when(year < FIRST_YEAR, FIRST_YEAR).when(year <= LAST_YEAR, year).otherwise(F.element_at(pairs, weekday + F.when(leap, 10).otherwise(0)))

@@ -1,6 +1,8 @@
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from signalpanel.operators.timestamps import resolve_instants
 
@@ -62,3 +64,37 @@ def test_extra_and_clashing_columns_empty_and_long(spark):
 def test_repeated_rows_keep_their_number(spark, n):
     df = spark.createDataFrame([("2021-11-07 01:30:00", "ET")] * n, "t string, z string")
     assert resolve_instants(df, "t", "z").count() == n
+
+
+def plain(wall, zone):
+    """By the standard library: the first of two, the offset before the change for a skipped one."""
+    z = ZoneInfo(zone)
+    d = wall - datetime(1970, 1, 1) - wall.replace(tzinfo=z).utcoffset()  # fold 0: the first of two, and the offset before a gap
+    return (d.days * 86400 + d.seconds) * 10**6 + d.microseconds
+
+
+def check(spark, walls):
+    df = spark.createDataFrame([(w.strftime("%Y-%m-%d %H:%M:%S").rjust(19, "0"), z) for w, z in walls], "t string, z string").withColumn("k", F.monotonically_increasing_id())
+    got = [r.instant_us for r in resolve_instants(df, "t", "z").orderBy("k").collect()]
+    assert got == [plain(w, z) for w, z in walls]
+
+
+def test_all_years(spark):
+    years = (1, 1500, 1800, 1834, 1835, 1883, 1895, 1919, 1969, 2037, 2038, 2087, 2099, 2100, 2101, 2128, 2129, 2150, 2400, 4000, 9998)
+    zones = ("America/New_York", "Europe/Amsterdam", "Europe/Dublin", "Europe/Berlin", "UTC", "Australia/Lord_Howe", "America/Sao_Paulo", "Africa/Casablanca", "America/Nuuk", "Africa/Cairo", "Asia/Gaza", "Pacific/Apia")
+    check(spark, [(datetime(y, m, d, 2, 30), z) for y in years for z in zones for m, d in ((1, 1), (3, 14), (6, 1), (12, 31))])
+
+
+def test_every_day_where_zones_suspend_summer_time(spark):
+    check(spark, [(datetime(y, 1, 1, 2, 30) + timedelta(k), z) for y in (2050, 2060, 2080) for z in ("Africa/Casablanca", "Africa/El_Aaiun") for k in range(365)])
+
+
+def test_hours_around_changes(spark):
+    around = [datetime(y, m, d) + timedelta(minutes=20 * k) for y, m, d in ((2150, 3, 8), (2150, 11, 1), (2021, 3, 14), (1942, 2, 9)) for k in range(72)]
+    check(spark, [(w, "America/New_York") for w in around])
+
+
+def test_last_instant_of_the_last_year(spark):
+    df = spark.createDataFrame([("9999-12-31 23:59:59", None), ("9999-12-31 23:59:59", "Europe/Berlin"), ("0001-01-01 00:00:00", "")], "t string, z string")
+    end = us(9999, 12, 31, 23, 59, 59)
+    assert [r.instant_us for r in resolve_instants(df, "t", "z").collect()] == [end, end - 3600 * 10**6, us(1, 1, 1)]
