@@ -44,42 +44,51 @@ def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def offset_seconds(zone: Column) -> Column:
-    """Seconds east of UTC of a numeric offset (``-05:00``, ``UTC+1``, ``GMT-0500``) in lower case; null if it is none or impossible."""
-    m = lambda k: F.regexp_extract(zone, _OFFSET, k)
-    size = _int(m(2)) * 3600 + F.coalesce(_int(m(3)), F.lit(0)) * 60 + F.coalesce(_int(m(4)), F.lit(0))
-    return F.when(zone.rlike(_OFFSET) & (size <= 64800) & (F.coalesce(_int(m(3)), F.lit(0)) < 60), F.when(m(1) == "+", size).otherwise(-size))
+def _offset_parts(zone: Column) -> Column:
+    """Sign, hours, minutes and seconds of a numeric offset (``-05:00``, ``UTC+1``, ``GMT-0500``) in lower case; null if it is none."""
+    return F.when(zone.rlike(_OFFSET), F.split(F.regexp_replace(zone, _OFFSET, "$1|$2|$3|$4"), r"\|"))
 
 
-def parse_time_text(value: Column) -> Column:
-    """struct<instant_us, f> of a squeezed timestamp text; both null where it has none of the known forms.
+def _offset_seconds(parts: Column) -> Column:
+    """Seconds east of UTC of an offset's parts; null if it is impossible."""
+    n = lambda k: F.coalesce(_int(F.get(parts, F.lit(k))), F.lit(0))
+    size = n(1) * 3600 + n(2) * 60 + n(3)
+    return F.when(parts.isNotNull() & (size <= 64800) & (n(2) < 60), F.when(F.get(parts, F.lit(0)) == "+", size).otherwise(-size))
 
-    instant_us is given for epoch numbers (10 digits seconds, 13 milli-, 16 microseconds); otherwise f holds the texts of year,
-    month, day, hour, minute, second, fraction, am/pm mark and zone.
-    """
-    s = value
+
+def parse_fields(s: Column) -> Column:
+    """Texts of year, month, day, hour, minute, second, fraction, am/pm mark and zone of a squeezed timestamp text; null where it has none of the known forms."""
     fields = F.lit(None).cast("array<string>")
     for pattern, order in reversed(_FORMATS):
         fields = F.when(s.rlike(pattern), F.split(F.regexp_replace(s, pattern, "|".join(f"${k}" if k else "" for k in order)), r"\|")).otherwise(fields)
+    return fields
+
+
+def epoch_us(s: Column) -> Column:
+    """Instant of an epoch number (10 digits seconds, 13 milli-, 16 microseconds); null for other texts."""
     scale = F.when(F.length(s) == 10, 1_000_000).when(F.length(s) == 13, 1_000).otherwise(1)
-    epoch = F.when(s.rlike(r"^(\d{10}|\d{13}|\d{16})$"), s.try_cast("long") * scale)
-    return F.struct(epoch.alias("instant_us"), fields.alias("f"))
-
-
-def _wall(f: Column) -> tuple[Column, Column, Column]:
-    """Local seconds, microseconds and zone text of the split fields; seconds are null if the date or time is impossible."""
-    g = lambda k: F.get(f, F.lit(k))
-    name = F.lower(F.substring(g(1), 1, 3))
-    at = F.instr(F.lit(_MONTHS), name)
-    month = F.coalesce(_int(g(1)), F.when((F.length(g(1)) >= 3) & (at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int")))
-    hour, minute, second = _int(g(3)), _int(g(4)), F.coalesce(_int(F.nullif(g(5), F.lit(""))), F.lit(0))
-    half = F.lower(F.substring(g(7), 1, 1))
-    hour = F.when(half == "", F.when(hour < 24, hour)).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    day = F.try_to_date(F.format_string("%04d-%02d-%02d", _int(g(0)), month, _int(g(2))), "yyyy-MM-dd")
-    ok = (minute < 60) & (second < 60) & _int(g(0)).between(1, 9999)
-    local = F.when(ok, F.unix_date(day).cast("long") * 86400 + hour * 3600 + minute * 60 + second)
-    frac = F.coalesce(_int(F.substring(F.rpad(g(6), 6, "0"), 1, 6)), F.lit(0))
-    return local, frac, F.trim(g(8))
+    return F.when(s.rlike(r"^(\d{10}|\d{13}|\d{16})$"), s.try_cast("long") * scale)
+
+
+def _with_wall(d: DataFrame, f: str, p: str) -> DataFrame:
+    """``d`` with local seconds, microseconds and zone text of the split fields ``f``; seconds are null if the date or time is impossible.
+
+    In small steps: each becomes a method of its own in the generated code, short enough to be compiled.
+    """
+    g = lambda k: F.get(F.col(f), F.lit(k))
+    c = lambda n: F.col(p + n)
+    at = F.instr(F.lit(_MONTHS), F.lower(F.substring(g(1), 1, 3)))
+    d = d.withColumns({p + "y": _int(g(0)), p + "m": _int(g(1)), p + "at": F.when(F.length(g(1)) >= 3, at), p + "d": _int(g(2))})
+    d = d.withColumns({p + "h": _int(g(3)), p + "mi": _int(g(4)), p + "se": F.coalesce(_int(F.nullif(g(5), F.lit(""))), F.lit(0)), p + "half": F.lower(F.substring(g(7), 1, 1))})
+    d = d.withColumns({p + "frac": F.coalesce(_int(F.substring(F.rpad(g(6), 6, "0"), 1, 6)), F.lit(0)), p + "own": F.coalesce(F.lower(F.trim(g(8))), F.lit(""))})
+    month = F.coalesce(c("m"), F.when((c("at") > 0) & (c("at") % 3 == 1), F.expr(f"({p}at + 2) div 3").cast("int")))
+    hour = F.when(c("half") == "", F.when(c("h") < 24, c("h"))).when(c("h").between(1, 12), c("h") % 12 + F.when(c("half") == "p", 12).otherwise(0))
+    d = d.withColumns({p + "mo": month, p + "ho": hour})
+    leap = ((c("y") % 4 == 0) & (c("y") % 100 != 0)) | (c("y") % 400 == 0)
+    days = F.when(c("mo") == 2, F.when(leap, 29).otherwise(28)).when(c("mo").isin(4, 6, 9, 11), 30).otherwise(31)
+    ok = c("y").between(1, 9999) & c("mo").between(1, 12) & (c("d") >= 1) & (c("d") <= days) & (c("mi") < 60) & (c("se") < 60)
+    d = d.withColumn(p + "day", F.when(ok, F.unix_date(F.make_date(c("y"), c("mo"), c("d"))).cast("long")))
+    return d.withColumn(p + "local", c("day") * 86400 + c("ho") * 3600 + c("mi") * 60 + c("se"))
 
 
 def resolve_instants(df: DataFrame, value: str, zone: str, out: str = "instant_us") -> DataFrame:
@@ -96,23 +105,28 @@ def resolve_instants(df: DataFrame, value: str, zone: str, out: str = "instant_u
     p = "__ts_"
     key = lambda c: F.regexp_replace(F.lower(squeeze(c)), r"[_ ]+", " ")
     d = df.select(*keep, squeeze(F.col(f"`{value}`")).alias(p + "s"), F.coalesce(key(F.col(f"`{zone}`")), F.lit("")).alias(p + "row"))
-    d = d.withColumn(p + "p", parse_time_text(F.col(p + "s")))
-    local, frac, own = _wall(F.col(p + "p.f"))
-    d = d.withColumns({p + "local": local, p + "frac": frac, p + "own": F.coalesce(F.lower(own), F.lit(""))})
+    # parts that are used more than once are columns of their own, no structs, so that they are computed once
+    d = d.withColumns({p + "f": parse_fields(F.col(p + "s")), p + "epoch": epoch_us(F.col(p + "s"))})
+    d = _with_wall(d, p + "f", p)
     d = d.withColumn(p + "own", F.when(F.col(p + "own").rlike(r"^\[.*\]$"), F.regexp_replace(F.col(p + "own"), r"^\[|\]$", "")).otherwise(F.col(p + "own")))
     letters = F.try_element_at(_map({k: int(v * 3600) for k, v in LETTERS.items()}), F.regexp_replace(F.col(p + "own"), r"[().]", ""))
-    d = d.withColumn(p + "fixed", F.coalesce(letters, offset_seconds(F.col(p + "own"))))
+    d = d.withColumn(p + "parts", _offset_parts(F.col(p + "own")))
+    d = d.withColumn(p + "fixed", F.coalesce(letters, _offset_seconds(F.col(p + "parts"))))
     # a region named in the text goes before the row's; otherwise the row's own
     zone_text = F.when(F.col(p + "own") != "", key(F.col(p + "own"))).when(F.col(p + "row").isin("", "unknown", "n/a", "na", "none", "null"), F.lit("utc")).otherwise(F.col(p + "row"))
     d = d.withColumn(p + "zone", F.when(F.col(p + "fixed").isNull() & F.col(p + "local").isNotNull(), zone_text))
-    d = d.withColumn(p + "zone_s", offset_seconds(F.col(p + "zone")))
+    d = d.withColumn(p + "parts", _offset_parts(F.col(p + "zone")))
+    d = d.withColumn(p + "zone_s", _offset_seconds(F.col(p + "parts")))
     # years under rules alone are read at a like year: t is the wall time moved there
-    year = F.get(F.col(p + "p.f"), F.lit(0)).try_cast("int")
-    d = d.withColumn(p + "year", F.when(F.col(p + "zone").isNotNull() & F.col(p + "zone_s").isNull(), year))
+    d = d.withColumn(p + "year", F.when(F.col(p + "zone").isNotNull() & F.col(p + "zone_s").isNull(), F.col(p + "y")))
     d = d.withColumn(p + "as", table_year(F.col(p + "year")))
     start = lambda c: F.unix_date(F.make_date(c, F.lit(1), F.lit(1))).cast("long") * 86400
     moved = F.when(F.col(p + "year") > F.col(p + "as"), start(F.col(p + "as")) - start(F.col(p + "year"))).otherwise(F.lit(0))
     d = d.withColumns({p + "t": F.col(p + "local") + moved, p + "period": F.floor(F.col(p + "as") / PERIOD).cast("int")})
+    # The rows go through a generator of one row each: else the optimizer, looking for partitions to prune by the join's key, would follow the key
+    # down through all steps above and write it out in terms of the input, in seconds and at a length that doubles with every step.
+    needed = [p + n for n in ("zone", "period", "t", "local", "frac", "fixed", "zone_s", "epoch")]
+    d = d.select(*keep, F.inline(F.array(F.struct(*needed))))
     names = zone_names(spark).select(F.col("zone_name").alias(p + "zone"), F.col("zone_id").alias(p + "id"))
     spans = zone_periods(spark).select(F.col("zone_id").alias(p + "id"), F.col("period").alias(p + "period"), F.col("spans").alias(p + "spans"))
     d = d.join(F.broadcast(names), p + "zone", "left").join(F.broadcast(spans), [p + "id", p + "period"], "left")
@@ -122,7 +136,7 @@ def resolve_instants(df: DataFrame, value: str, zone: str, out: str = "instant_u
     hits = F.col(p + "hits")
     span_s = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["offset_s"]).otherwise(F.get(before, F.lit(0))["offset_s"])
     offset = F.coalesce(F.col(p + "fixed"), F.col(p + "zone_s"), span_s)
-    epoch, local = F.col(p + "p.instant_us"), F.col(p + "local")
+    epoch, local = F.col(p + "epoch"), F.col(p + "local")
     how = (
         F.when(epoch.isNotNull(), "epoch").when(local.isNull() | offset.isNull(), F.lit(None)).when(F.col(p + "fixed").isNotNull() | F.col(p + "zone_s").isNotNull(), "offset")
         .when(F.size(hits) > 1, "ambiguous").when(F.size(hits) == 1, "unique").otherwise("nonexistent")

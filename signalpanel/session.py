@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of the data folder; the session is pinned to UTC first so that instants read alike everywhere."""
+    """Table ``name`` of the data folder; the session is pinned to UTC first so that instants read alike everywhere.
+
+    Generated methods above 8,000 bytes are never compiled by the JVM, so stages with such methods are better run operator by operator.
+    """
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") != "8000":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
