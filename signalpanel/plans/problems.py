@@ -13,7 +13,7 @@ from signalpanel.operators.diff import diff_copies, latest_rows, relative_apart,
 from signalpanel.operators.grid import to_grid
 from signalpanel.operators.history import attribute_history
 from signalpanel.operators.timestamps import resolve_instants
-from signalpanel.session import table
+from signalpanel.session import cut, table
 
 MASTER = "research_grade_example_security_master"
 
@@ -86,7 +86,8 @@ def _as_known(spark: SparkSession, d: str) -> DataFrame:
     # a record begins to hold at its snapshot day; greatest skips nulls
     begins = F.when(F.col("snapshot_date").isNotNull(), F.greatest("snapshot_date", "name_start_date"))
     rank = [F.col("snapshot_date"), F.col("available_time_utc"), F.col("record_id")]
-    out = locate_versions(docs, master.where("snapshot_date is not null"), "entity_id", "event_date", "available_time_utc", begins, F.col("name_end_date"), F.col("available_time_utc"), rank, "record_id", "record_id")
+    # written once: the second search reads it several times
+    out = cut(locate_versions(docs, master.where("snapshot_date is not null"), "entity_id", "event_date", "available_time_utc", begins, F.col("name_end_date"), F.col("available_time_utc"), rank, "record_id", "record_id"))
     links = table(spark, d, "entity_link_history").where("link_start_date is not null")
     # validity has no recorded time here: one strip
     return locate_versions(out, links, "entity_id", "event_date", None, F.col("link_start_date"), F.col("link_end_date"), None, [F.col("link_confidence"), -F.col("link_id")], "link_id", "link_id")

@@ -1,8 +1,11 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from signalpanel.operators import bitemporal
+
 from signalpanel.operators.bitemporal import locate_versions
 
 E = "doc string, k string, day date, known timestamp, regions string, _row int"
@@ -17,14 +20,15 @@ def brute(events, versions):
     return out
 
 
-def run(spark, events, versions, **kw):
+def run(spark, events, versions):
     e, v = spark.createDataFrame(events, E), spark.createDataFrame(versions, V)
     begin = F.when(F.col("snap").isNotNull(), F.greatest("snap", "f"))
-    got = locate_versions(e, v.where("snap is not null"), "k", "day", "known", begin, F.col("e"), F.col("pub"), [F.col("snap"), F.col("pub"), F.col("rec")], "rec", "rec", **kw)
+    got = locate_versions(e, v.where("snap is not null"), "k", "day", "known", begin, F.col("e"), F.col("pub"), [F.col("snap"), F.col("pub"), F.col("rec")], "rec", "rec")
     return got
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("change", [{}, {"CELL_DAYS": 8, "LEVELS": 3, "CELL_US": 9 * 86400 * 10**6}, {"LISTED": 1}, {"LISTED": 0, "PER_STRIP": 2}, {"LISTED": 0, "PER_STRIP": 1, "CELL_DAYS": 1024, "LEVELS": 10}])
+def test_against_brute_force(spark, monkeypatch, change):
     rnd = random.Random(7)
     day = lambda: date(2020, 1, 1) + timedelta(rnd.randrange(900))
     at = lambda: datetime(2020, 1, 1) + timedelta(rnd.randrange(900), rnd.randrange(86400))
@@ -32,10 +36,21 @@ def test_against_brute_force(spark):
     versions = [(maybe(rnd.choice("abc"), 0.05), n, maybe(day(), 0.05), maybe(at(), 0.05), maybe(day(), 0.4), maybe(day(), 0.6)) for n in range(200)]
     events = [(f"d{n}", maybe(rnd.choice("abcz"), 0.05), maybe(day(), 0.05), maybe(at(), 0.05), "r", 1) for n in range(400)]
     want = brute(events, versions)
-    for kw in ({}, {"days_per_cell": 7, "seconds_per_cell": 9 * 86400}, {"dense": 1}, {"dense": 0, "refine": 5}):
-        got = run(spark, events, versions + versions[:20], **kw)
-        assert {r.doc: r.rec for r in got.collect()} == want
-        assert got.columns == ["doc", "k", "day", "known", "regions", "_row", "rec"]
+    for name, value in change.items():
+        monkeypatch.setattr(bitemporal, name, value)
+    got = run(spark, events, versions + versions[:20])
+    assert {r.doc: r.rec for r in got.collect()} == want
+    assert got.columns == ["doc", "k", "day", "known", "regions", "_row", "rec"]
+
+
+def test_hot_key(spark):
+    """Many versions and events of one key within 200 days, at few instants and at many: ties in time, rank and cell."""
+    rnd = random.Random(8)
+    day = lambda: date(2020, 1, 1) + timedelta(rnd.randrange(200))
+    at = lambda: datetime(2020, 1, 1) + timedelta(rnd.randrange(200), rnd.choice((0, rnd.randrange(86400))))
+    versions = [("hot", n, day(), at(), day(), rnd.choice((None, day()))) for n in range(3000)]
+    events = [(f"d{n}", "hot", day(), at(), "r", 1) for n in range(600)]
+    assert {r.doc: r.rec for r in run(spark, events, versions).collect()} == brute(events, versions)
 
 
 def test_boundaries_and_empty(spark):
