@@ -80,8 +80,8 @@ P2_COUNT_SQL = f"with {P2_HELD} select entity_id, count(*) n_versions, cast(sum(
 
 
 def _as_known(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct delivered (document, entity, event day, available time) with the master record and the link then valid."""
-    docs = table(spark, d, "document_manifest").select("document_id", "entity_id", "event_date", "available_time_utc").distinct()
+    """Each delivered (document, entity, event day, available time) with the master record and the link then valid."""
+    docs = table(spark, d, "document_manifest").select("document_id", "entity_id", "event_date", "available_time_utc")
     master = table(spark, d, MASTER).where(ticker("historical_ticker").isNotNull())
     # a record begins to hold at its snapshot day; greatest skips nulls
     begins = F.when(F.col("snapshot_date").isNotNull(), F.greatest("snapshot_date", "name_start_date"))
