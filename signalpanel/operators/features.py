@@ -1,14 +1,9 @@
-"""Text features: ASCII tokens, n-grams, dictionary tone, vocabulary and TF-IDF, section parsing."""
+"""Text features: ASCII tokens, n-grams, dictionary tone, vocabulary and TF-IDF."""
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 TOKEN = r"[A-Za-z][A-Za-z\-']*"
 
@@ -63,85 +58,3 @@ def tfidf(docs: DataFrame, scope: list[str], text: str, vocab: DataFrame, low: i
     v = grams.join(vocab.drop("tf"), [*scope, "term"]).withColumn("_v", raw)
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(*scope, "doc_id")))
     return v.select(*scope, "doc_id", "term", "term_index", (F.col("_v") / norm).alias("value"))
-
-
-class _Text(HTMLParser):
-    """Text of a page: script, style and noscript bodies are opaque, block tags end lines."""
-
-    SKIP, BLOCK = {"script", "style", "noscript"}, {"p", "div", "br", "tr", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "hr", "td", "th"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.out = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.SKIP
-        if tag in self.BLOCK:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        self.depth = max(0, self.depth - (tag in self.SKIP))
-        if tag in self.BLOCK:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
-
-
-def html_text(page: str | None) -> str | None:
-    """Visible text: entities decoded twice, spaces collapsed within lines, blank lines squeezed."""
-    if page is None:
-        return None
-    import html
-
-    parser = _Text()
-    parser.feed(page)
-    parser.close()
-    text = html.unescape("".join(parser.out)).replace("\xa0", " ")
-    lines = [re.sub(r"[ \t\f\v]+", " ", x).strip() for x in text.splitlines()]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-
-
-@F.pandas_udf(StringType())
-def html_to_text(pages: pd.Series) -> pd.Series:
-    return pages.map(html_text)
-
-
-HEADING = r"(?i)^\s*item\s+(\d{1,2}[ab]?)[\s.:\-]*(.*)$"
-#: Order of the items of an annual filing.
-ITEM_ORDER = ("1", "1a", "1b", "1c", "2", "3", "4", "5", "6", "7", "7a", "8", "9", "9a", "9b", "10", "11", "12", "13", "14", "15")
-
-
-def parse_sections(docs: DataFrame, doc_id: str, text: str, wanted: tuple[str, ...]) -> DataFrame:
-    """doc_id, item, status, start, length, body, n_headings for each document and wanted item.
-
-    Headings are lines ``Item N``; lines with dot leaders belong to a table of contents and are skipped. A heading's span ends at the next
-    later heading of a higher item, else at the text's end; of several headings of an item the longest span (then the latest) is the
-    section. Relational throughout: lines are exploded with running offsets, and the arrays never leave the row they came from.
-    """
-    lines = F.split(F.col(text), "\n")
-    order = F.create_map(*[F.lit(x) for k, i in enumerate(ITEM_ORDER) for x in (i, k)])
-    t = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.posexplode(lines).alias("k", "line"))
-    w = Window.partitionBy("d").orderBy("k")
-    t = t.withColumn("pos", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("item", F.lower(F.regexp_extract("line", HEADING, 1))).where((F.col("item") != "") & ~F.col("line").rlike(r"\.{2,}\s*\d+\s*$"))
-    t = t.withColumn("ord", F.try_element_at(order, F.col("item"))).where("ord is not null").select("d", "t", "pos", "line", "item", "ord")
-    heads = t.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("pos", "ord"))).alias("hs"))
-    t = t.join(heads, "d")
-    later = F.filter("hs", lambda h: (h["pos"] > F.col("pos")) & (h["ord"] > F.col("ord")))
-    t = t.withColumns({"end": F.coalesce(F.get(later, F.lit(0))["pos"], F.length("t").cast("bigint")), "start": F.col("pos") + F.length("line")})
-    w = Window.partitionBy("d", "item")
-    t = t.withColumns({"n_headings": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(F.desc(F.col("end") - F.col("pos")), F.desc("pos")))}).where("_r = 1")
-    t = t.withColumn("body", F.trim(F.regexp_replace(F.substring("t", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), r"^\s+|\s+$", "")))
-    every = docs.select(F.col(doc_id).alias("d")).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "item string")), how="cross")
-    out = every.join(t.select("d", "item", "start", "body", "n_headings"), ["d", "item"], "left")
-    status = F.when(F.col("body").isNull(), "missing").when(F.length("body") == 0, "failed").otherwise("parsed")
-    return out.select(F.col("d").alias(doc_id), "item", status.alias("status"), "start", F.coalesce(F.length("body"), F.lit(0)).alias("length"), "body", F.coalesce("n_headings", F.lit(0)).alias("n_headings"))
-
-
-def section_quality(sections: DataFrame) -> DataFrame:
-    """Word count and flag of each section: under 100 words manual_review, under 500 short, else ok."""
-    n = F.size(tokens("body"))
-    return sections.withColumns({"n_words": n, "flag": F.when(n < 100, "manual_review").when(n < 500, "short").otherwise("ok")})
-

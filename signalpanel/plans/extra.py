@@ -60,13 +60,6 @@ def a16(s: SparkSession, d: str) -> DataFrame:
     return p.agg(n("applied").alias("n_applied"), n("missing").alias("n_missing")).withColumn("status", F.when(F.col("n_missing") > 0, "fail").when(F.col("n_applied") > 0, "pass").otherwise("not_applicable"))
 
 
-def a25(s: SparkSession, d: str) -> DataFrame:
-    """Parsing quality by document: wanted sections found, repeated headings, share covered."""
-    p = T.parse_sections(table(s, d, "documents"), "doc_id", "text", ("1", "1a", "3", "7"))
-    parsed = (F.col("status") == "parsed").cast("long")
-    return p.groupBy("doc_id").agg(F.sum(parsed).alias("n_parsed"), F.sum((F.col("n_headings") > 1).cast("long")).alias("n_repeated"), F.sum("length").alias("n_chars"))
-
-
 def a28(s: SparkSession, d: str) -> DataFrame:
     """Documents by scope: the whole text counts for any document with text, a feed for its own."""
     t = table(s, d, "documents").where("trim(text) <> ''")
@@ -148,7 +141,7 @@ def s10(s: SparkSession, d: str) -> DataFrame:
 _MAS = f"(select distinct record_id, entity_id, exchange, share_class, source_version from {MASTER})"
 _J7 = f"{PANEL_SQL}, {EVENTS_SQL}, reb as (select max(date) rebalance from panel group by year(date), month(date)), sig as (select e.ticker, rebalance, arg_max(yhat, (event_date, doc_id)) yhat from reb join events0 e on e.event_date <= rebalance and rebalance - e.event_date <= 370 group by 1, 2)"
 QUERIES = {
-    "F10_F11_F12_F35_predicates": f10, "F14_industry_key": f14, "F34_F37_spec_roles": f34, "F23_F28_F30_codes": f30, "A16_delisting_report": a16, "A25_parsing_quality": a25, "A28_scope_counts": a28, "A29_stability": a29, "A31_document_sets": a31,
+    "F10_F11_F12_F35_predicates": f10, "F14_industry_key": f14, "F34_F37_spec_roles": f34, "F23_F28_F30_codes": f30, "A16_delisting_report": a16, "A28_scope_counts": a28, "A29_stability": a29, "A31_document_sets": a31,
     "O5_first_k": o5, "R11_filing_index": r11, "R13_metadata_features": r13, "R28_monthly_panel": r28, "R40_membership": r40, "S8_section_map": s8, "S7_whole_files": s7, "S10_U7_terms": s10,
 }
 ORACLES = {

@@ -1,4 +1,4 @@
-"""Queries of tokens, dictionaries, TF-IDF and sections."""
+"""Queries of tokens, dictionaries and TF-IDF."""
 
 from __future__ import annotations
 
@@ -88,19 +88,6 @@ def r35_split(s: SparkSession, d: str) -> DataFrame:
     return split_vocab(s, d).groupBy("split_id").agg(F.count("*").alias("n_terms"), F.sha2(terms, 256).alias("digest"))
 
 
-def r10_sections(s: SparkSession, d: str) -> DataFrame:
-    return T.parse_sections(docs(s, d), "doc_id", "text", ("1", "1a", "3", "7")).select("doc_id", "item", "status", "length", "n_headings", F.md5(F.coalesce("body", F.lit(""))).alias("digest"))
-
-
-def f21_quality(s: SparkSession, d: str) -> DataFrame:
-    q = T.section_quality(T.parse_sections(docs(s, d), "doc_id", "text", ("1", "1a", "3", "7")).where("status = 'parsed'"))
-    return q.groupBy("item", "flag").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"))
-
-
-def f18_html(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", F.md5(T.html_to_text("text")).alias("digest"), F.regexp_count("text", F.lit("(?i)<p>")).alias("n_paragraph_tags"))
-
-
 def f24_hashes(s: SparkSession, d: str) -> DataFrame:
     payload = F.format_string('{"document": "%s", "source": "%s"}', F.col("doc_id").cast("string"), F.col("source"))
     return docs(s, d).select("doc_id", F.sha2("text", 256).alias("text_hash"), F.substring(F.sha2(payload, 256), 1, 16).alias("spec_id"))
@@ -120,7 +107,7 @@ voc as (select split_id, term, df, tf, n_docs, row_number() over (partition by s
 QUERIES = {
     "A17_split_vocabulary": split_vocab, "A18_R14_split_tfidf": a18_split, "R35_split_manifest": r35_split,
     "F1_F3_tokens": f1_tokens, "F2_ngrams": f2_bigrams, "F4_R12_dictionary_tone": f4_tone, "A17_vocabulary": a17_vocabulary, "A18_R14_tfidf": a18_tfidf, "R35_vocabulary_manifest": r35_manifest,
-    "R10_W13_W14_W15_sections": r10_sections, "F21_A24_A32_section_quality": f21_quality, "F18_F19_html_text": f18_html, "F24_hashes": f24_hashes,
+    "F24_hashes": f24_hashes,
 }
 ORACLES = {
     "A17_split_vocabulary": f"with {_SPLITS} select split_id, term, df, tf, n_docs, term_index from voc",

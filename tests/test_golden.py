@@ -12,6 +12,7 @@ from signalpanel.operators import features as T
 from signalpanel.operators import inference as I
 from signalpanel.operators import panel as P
 from signalpanel.operators import portfolio as B
+from signalpanel.operators import sections as X
 from signalpanel.sources import files as L
 
 
@@ -99,9 +100,11 @@ def test_tokens_and_sections(spark):
     df = spark.createDataFrame([("Liquidity, litigation-risk MAY fluctuate.",), (None,)], "t string").select(T.tokens("t").alias("w"))
     assert [r.w for r in df.collect()] == [["liquidity", "litigation-risk", "may", "fluctuate"], []]
     text = "Item 1. Business .... 3\nItem 7. MD&A .... 9\nItem 1. Business\nWe sell things.\nItem 1A. Risk Factors\nMany risks.\nItem 7. Management\n" + "long body " * 5 + "\nItem 8. Statements\nNumbers"
-    got = {r.item: r for r in T.parse_sections(spark.createDataFrame([(1, text)], "d int, t string"), "d", "t", ("1", "1a", "3", "7")).collect()}
+    got = {r.item: r for r in X.parse_sections(spark.createDataFrame([(1, text)], "d int, t string"), "d", "t", ("1", "1a", "3", "7")).collect()}
     assert got["1"].body == "We sell things." and got["1a"].body == "Many risks." and got["3"].status == "missing" and got["7"].body.startswith("long body")
-    assert T.html_text("<p>a&amp;b</p><script>x = '</p>'</script><div>c &amp;lt; d</div>") == "a&b\n\nc < d"
+    pages = [("<p>a&amp;b</p><script>x = '</p>'</script><div>c &amp;lt; d</div>", "a&b\n\nc < d"), ("<!-- <p> -->x<br>y&nbsp; z&#x41;&bogus;&#65", "x\ny zA&bogus;&#65"), ("a<style>b", "a"), ("&amp;amp;lt;", "&lt;"), (None, None), ("", "")]
+    got = spark.createDataFrame(pages, "p string, t string").select(X.html_text(F.col("p")).alias("g"), "t").collect()
+    assert [r.g for r in got] == [r.t for r in got]
 
 
 def test_files(spark, tmp_path):
