@@ -1,7 +1,8 @@
 """Cross-sectional evaluation of predictions: errors, tie-aware rank correlation, neutral residuals, extremes and directions.
 
 A scored row has group keys, event_date, ticker, y (target), yhat (prediction) and optional industry. Groups and dates are shuffle keys,
-so each cross-section is ranked in one task; series per group hold one value for each date.
+so each date's cross-section is ranked in one task; whole groups are ranked by counts of their values (:mod:`signalpanel.operators.ranks`), and
+series per group hold one value for each date.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalpanel.functions.stats import average_rank, correlation, mean_t, newey_west_t, quantile, r_squared
+from signalpanel.operators.ranks import percentile, value_ranks, with_ranks
 
 EPSILON = 2.220446049250313e-16
 
@@ -23,16 +25,24 @@ def error_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def information_coefficients(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Pearson and rank correlation by group, over average ranks."""
-    ranked = scored.withColumns({"ry": average_rank("y", keys), "rp": average_rank("yhat", keys)})
+def information_coefficients(scored: DataFrame, keys: list[str], cross_sections: bool = False) -> DataFrame:
+    """Pearson and rank correlation by group, over average ranks.
+
+    cross_sections: the groups are those of one date, each small enough for a task, and are ranked by a window; other groups may be of any size.
+    """
+    if cross_sections:
+        ranked = scored.withColumns({"ry": average_rank("y", keys), "rp": average_rank("yhat", keys)})
+    else:
+        ranked = with_ranks(scored, keys, {"y": "ry", "yhat": "rp"})
     return ranked.groupBy(*keys).agg(correlation("y", "yhat").alias("ic"), correlation("ry", "rp").alias("rank_ic"), F.count("*").alias("n"))
 
 
 def ic_series(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Correlations by event date, for cross-sections of two rows at least; a group without any gets one pooled row of null date."""
-    by_date = information_coefficients(scored, [*keys, "event_date"]).where("n >= 2")
-    pooled = information_coefficients(scored, keys).withColumn("event_date", F.lit(None).cast("date")).join(by_date.select(*keys).distinct(), keys, "left_anti")
+    by_date = information_coefficients(scored, [*keys, "event_date"], cross_sections=True).where("n >= 2")
+    # a group without a date of two rows has no more rows than days
+    rest = scored.join(by_date.select(*keys).distinct(), keys, "left_anti")
+    pooled = information_coefficients(rest, keys, cross_sections=True).withColumn("event_date", F.lit(None).cast("date"))
     return by_date.unionByName(pooled)
 
 
@@ -63,14 +73,18 @@ def industry_key(industry: str, sector: str) -> Column:
 
 
 def neutral_residuals(scored: DataFrame, keys: list[str], industry: str) -> DataFrame:
-    """y and yhat less their industry means within a group; residuals within rounding of zero are zero. Adds industry_n."""
-    w = Window.partitionBy(*keys, industry)
-
-    def residual(c: str) -> Column:
-        r = F.col(c) - F.avg(c).over(w)
-        return F.when(F.abs(r) <= EPSILON * F.greatest(F.abs(F.col(c)), F.lit(1.0)) * 32, F.lit(0.0)).otherwise(r)
+    """y and yhat less their industry means within a group; residuals within rounding of zero are zero. Adds industry_n.
 
-    return scored.withColumns({"_ry": residual("y"), "_rp": residual("yhat"), "industry_n": F.count("*").over(w)}).withColumns({"y": F.col("_ry"), "yhat": F.col("_rp")}).drop("_ry", "_rp")
+    Means are of exact sums of 12 decimals, so they don't depend on the order of rows. Rounding is measured by the group's largest residual.
+    """
+    k = [*keys, industry]
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)")).cast("double")
+    means = scored.groupBy(*k).agg(exact("y").alias("_sy"), exact("yhat").alias("_sp"), F.count("*").alias("industry_n"), F.count("y").alias("_ny"), F.count("yhat").alias("_np"))
+    out = scored.join(means, k).withColumns({"y": F.col("y") - F.col("_sy") / F.col("_ny"), "yhat": F.col("yhat") - F.col("_sp") / F.col("_np")}).select(*scored.columns, "industry_n")
+    largest = lambda c: F.greatest(F.max(F.abs(F.col(c))), F.lit(1.0)).alias(f"_{c}")
+    scale = out.groupBy(*keys).agg(largest("y"), largest("yhat"))
+    clean = lambda c: F.when(F.abs(F.col(c)) <= EPSILON * F.col(f"_{c}") * 32, F.lit(0.0)).otherwise(F.col(c))
+    return out.join(scale, keys).withColumns({"y": clean("y"), "yhat": clean("yhat")}).drop("_y", "_yhat")
 
 
 def ranked_cross_section(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -87,18 +101,33 @@ def ranked_cross_section(rows: DataFrame, keys: list[str], value: str) -> DataFr
     return r.withColumns({"quantile": quantile(F.col("avg_rank"), F.col("n_rows")), "leg": side}).drop("_up", "_down", "_lo", "_hi")
 
 
-def signal_direction(validation: DataFrame, keys: list[str]) -> DataFrame:
-    """direction by group: 1 if the high leg's mean target is at least the low leg's on validation rows, else -1; 1 without legs."""
-    legs = ranked_cross_section(validation, keys, "yhat")
-    spread = F.avg(F.when(F.col("leg") == 1, F.col("y"))) - F.avg(F.when(F.col("leg") == -1, F.col("y")))
-    return legs.groupBy(*keys).agg(F.when(F.coalesce(spread, F.lit(0.0)) >= 0, 1).otherwise(-1).alias("direction"))
+def signal_direction(validation: DataFrame, keys: list[str], requested: Column | None = None, volatility: Column | None = None) -> DataFrame:
+    """direction by group: 1 if the high leg's mean target is at least the low leg's on validation rows, else -1; 1 without legs.
+
+    Legs are those of :func:`ranked_cross_section`, over whole groups of any size. volatility (an aggregate or literal) gives -1 where it is true, and
+    requested, where it is 1 or -1, goes before both.
+    """
+    r = value_ranks(validation, keys, ["yhat"])
+    leg = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
+    low, high = F.col("below") < leg, F.col("n") - F.col("below") - F.col("ties") < leg
+    bounds = r.groupBy(*keys).agg(F.max(F.when(low, F.col("value"))).alias("_lo"), F.min(F.when(high, F.col("value"))).alias("_hi"))
+    m = validation.join(bounds, keys)
+    has = F.col("_lo") < F.col("_hi")
+    spread = F.avg(F.when(has & (F.col("yhat") >= F.col("_hi")), F.col("y"))) - F.avg(F.when(has & (F.col("yhat") <= F.col("_lo")), F.col("y")))
+    chosen = F.when(F.coalesce(spread, F.lit(0.0)) >= 0, 1).otherwise(-1)
+    if volatility is not None:
+        chosen = F.when(volatility, -1).otherwise(chosen)
+    if requested is not None:
+        chosen = F.when(requested.isin(1, -1), requested).otherwise(chosen)
+    return m.groupBy(*keys).agg(chosen.alias("direction"))
 
 
 def prediction_distribution(scored: DataFrame, keys: list[str], ratio_limit: float = 100.0) -> DataFrame:
     """Range, 1st and 99th percentile (linear interpolation) of predictions, their scale against the targets' and outliers by group."""
     span = F.greatest(F.abs(F.min("yhat")), F.abs(F.max("yhat")))
     base = scored.groupBy(*keys).agg(
-        F.min("yhat").alias("lowest"), F.max("yhat").alias("highest"), F.percentile("yhat", 0.01).alias("p01"), F.percentile("yhat", 0.99).alias("p99"),
+        F.min("yhat").alias("lowest"), F.max("yhat").alias("highest"),
         F.coalesce(F.try_divide(span, F.max(F.abs(F.col("y")))), F.lit(0.0)).alias("scale_ratio"), F.sum((F.abs("yhat") > ratio_limit * F.abs("y")).cast("long")).alias("n_outliers"),
     )
+    base = base.join(value_ranks(scored, keys, ["yhat"]).groupBy(*keys).agg(percentile(0.01).alias("p01"), percentile(0.99).alias("p99")), keys)
     return base.withColumn("guard", F.when(F.col("scale_ratio") >= 1000, "fail").when(F.col("scale_ratio") >= 100, "warn").otherwise("pass"))

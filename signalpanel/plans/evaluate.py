@@ -46,13 +46,12 @@ def a7_all_splits(s: SparkSession, d: str) -> DataFrame:
 
 def a8_neutral(s: SparkSession, d: str) -> DataFrame:
     rows = E.neutral_residuals(scored(s, d).withColumn("industry", E.industry_key("industry", "sector")), G, "industry")
-    return _round(rows.select("model_id", "doc_id", "industry", (F.col("y") + 1e-7).alias("y"), (F.col("yhat") + 1e-7).alias("yhat"), "industry_n"), 5)
+    return _round(rows.select("model_id", "doc_id", "industry", "y", "yhat", "industry_n"), 9)
 
 
 def r30_neutral_ic(s: SparkSession, d: str) -> DataFrame:
     rows = E.neutral_residuals(scored(s, d).withColumn("industry", E.industry_key("industry", "sector")), G, "industry")
-    rows = rows.withColumns({"y": F.round("y", 6), "yhat": F.round("yhat", 6)})
-    return _round(E.information_coefficients(rows, [*G, "event_date"]).where("n >= 2"))
+    return _round(E.information_coefficients(rows, [*G, "event_date"], cross_sections=True).where("n >= 2"))
 
 
 def w1_w2_w3_cross_section(s: SparkSession, d: str) -> DataFrame:
@@ -85,7 +84,10 @@ _T = "case when count({0}) > 1 and stddev_samp({0}) > 0 then avg({0}) / (stddev_
 _SER = f"with {RANKS.format(base=SCORED_SQL, k='model_id, role, event_date', src='scored')}, ser as (select model_id, role, event_date, {_IC}, count(*) n from ranked group by 1, 2, 3 having count(*) >= 2)"
 _R6 = "round({0}, 6) {0}"
 _IND = "coalesce(nullif(industry, ''), nullif(sector, ''), '__MISSING_INDUSTRY__')"
-_RES = f"""neutral as (select model_id, role, doc_id, event_date, {_IND} industry, y - avg(y) over w ry0, yhat - avg(yhat) over w rp0, count(*) over w industry_n from scored window w as (partition by model_id, role, {_IND}))"""
+_ZERO = "case when abs({0}) <= 2.220446049250313e-16 * 32 * greatest(max(abs({0})) over (partition by model_id, role), 1.0) then 0.0 else {0} end"
+_MEAN = "{0} - cast(sum(cast({0} as decimal(38, 12))) over w as double) / count({0}) over w"
+_RES = f"""less as (select *, {_IND} ind, {_MEAN.format("y")} ey, {_MEAN.format("yhat")} ep, count(*) over w industry_n from scored window w as (partition by model_id, role, {_IND})),
+neutral as (select model_id, role, doc_id, event_date, ind industry, {_ZERO.format("ey")} ry0, {_ZERO.format("ep")} rp0, industry_n from less)"""
 _LEGS = """legs0 as (select *, count(*) over w n_rows, row_number() over (w order by yhat) u, row_number() over (w order by yhat desc) dn, rank() over (w order by yhat) + (count(*) over (partition by {k}, yhat) - 1) / 2.0 avg_rank from {src} window w as (partition by {k})),
 legs1 as (select *, max(case when u = greatest(1, floor(n_rows * 0.2)) then yhat end) over (partition by {k}) lo, max(case when dn = greatest(1, floor(n_rows * 0.2)) then yhat end) over (partition by {k}) hi from legs0),
 legs as (select *, cast(least(greatest(floor((avg_rank - 0.5) / n_rows * 5) + 1, 1), 5) as int) quantile, case when lo < hi then case when yhat <= lo then -1 when yhat >= hi then 1 end end leg from legs1)"""
@@ -108,8 +110,8 @@ ORACLES = {
     "A7_all_splits": f"""with {_RANKS_G}, m as (select model_id, model, role, {_ERR}, {_C.format("ry", "rp")} rank_ic from ranked group by 1, 2, 3)
       select model, role, count(*) n_splits, cast(sum(n) as bigint) n, round(sqrt(sum(rmse * rmse * n) / sum(n)), 6) rmse, round(sum(mae * n) / sum(n), 6) mae, round(sum(r2 * n) / sum(n), 6) r2, round(sum(directional_accuracy * n) / sum(n), 6) directional_accuracy,
       round(avg(rank_ic), 6) rank_ic, round({_T.format("rank_ic")}, 6) rank_ic_t, model || '::y::ALL_SPLITS' model_id from m group by model, role""",
-    "A8_neutral_residuals": f"with {SCORED_SQL}, {_RES} select model_id, doc_id, industry, round(ry0 + 1e-7, 5) + 0.0 y, round(rp0 + 1e-7, 5) + 0.0 yhat, industry_n from neutral",
-    "R30_neutral_ic": f"with {SCORED_SQL}, {_RES}, src as (select *, round(ry0, 6) y, round(rp0, 6) yhat from neutral), {RANKS.format(base='one as (select 1)', k='model_id, role, event_date', src='src')} select model_id, role, event_date, round({_C.format('y', 'yhat')}, 6) + 0.0 ic, round({_C.format('ry', 'rp')}, 6) + 0.0 rank_ic, count(*) n from ranked group by 1, 2, 3 having count(*) >= 2",
+    "A8_neutral_residuals": f"with {SCORED_SQL}, {_RES} select model_id, doc_id, industry, round(ry0, 9) + 0.0 y, round(rp0, 9) + 0.0 yhat, industry_n from neutral",
+    "R30_neutral_ic": f"with {SCORED_SQL}, {_RES}, src as (select *, ry0 y, rp0 yhat from neutral), {RANKS.format(base='one as (select 1)', k='model_id, role, event_date', src='src')} select model_id, role, event_date, round({_C.format('y', 'yhat')}, 6) + 0.0 ic, round({_C.format('ry', 'rp')}, 6) + 0.0 rank_ic, count(*) n from ranked group by 1, 2, 3 having count(*) >= 2",
     "W1_W2_W3_cross_section": f"with {SCORED_SQL}, {_LEGS.format(k='model_id, role, event_date', src='scored')} select model_id, doc_id, avg_rank, n_rows, quantile, leg from legs",
     "R23_direction": f"with {SCORED_SQL}, src as (select * from scored where role = 'validation'), {_LEGS.format(k='model', src='src')} select model, case when coalesce(avg(y) filter (where leg = 1) - avg(y) filter (where leg = -1), 0) >= 0 then 1 else -1 end direction from legs group by 1",
     "A19_distribution": f"with {SCORED_SQL}, b as (select model_id, role, min(yhat) lowest, max(yhat) highest, round(quantile_cont(yhat, 0.01), 6) p01, round(quantile_cont(yhat, 0.99), 6) p99, round(greatest(abs(min(yhat)), abs(max(yhat))) / max(abs(y)), 6) scale_ratio, count(*) filter (where abs(yhat) > 100 * abs(y)) n_outliers from scored group by 1, 2) select *, case when scale_ratio >= 1000 then 'fail' when scale_ratio >= 100 then 'warn' else 'pass' end guard from b",

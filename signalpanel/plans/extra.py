@@ -12,6 +12,7 @@ from signalpanel.operators import features as T
 from signalpanel.operators import panel as P
 from signalpanel.operators import portfolio as B
 from signalpanel.operators import universe as U
+from signalpanel.operators.ranks import value_ranks
 from signalpanel.plans.base import EVENTS_SQL, META_SQL, PANEL_SQL, SCORED_SQL, events, meta, panel, scored
 from signalpanel.plans.evaluate import _C, _LEGS, _RANKS_G, _round
 from signalpanel.session import table
@@ -113,7 +114,9 @@ def r28(s: SparkSession, d: str) -> DataFrame:
 def r40(s: SparkSession, d: str) -> DataFrame:
     """Membership with validity intervals: an entity's first and last snapshot, its rank by number of snapshots."""
     m = table(s, d, MASTER).groupBy("entity_id").agg(F.min("snapshot_date").alias("entry_date"), F.max("snapshot_date").alias("exit_date"), F.countDistinct("snapshot_date").alias("n"))
-    return m.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n"))))  # one row per entity: reference data
+    # the rank of the negative number, so that most come first
+    r = value_ranks(m.withColumn("value", -F.col("n")), [], ["value"]).select((-F.col("value")).cast("bigint").alias("n"), (F.col("below") + 1).cast("int").alias("rank"))
+    return m.join(r, "n").select("entity_id", "entry_date", "exit_date", "n", "rank")
 
 
 def s8(s: SparkSession, d: str) -> DataFrame:

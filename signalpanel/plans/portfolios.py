@@ -77,7 +77,7 @@ def a12(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tests(s: SparkSession, d: str) -> DataFrame:
-    ic = E.information_coefficients(scored(s, d), ["model_id", "role", "ticker"]).where("n >= 4")
+    ic = E.information_coefficients(scored(s, d), ["model_id", "role", "ticker"], cross_sections=True).where("n >= 4")
     family = F.concat_ws("|", F.split("model_id", "::")[0], "role")
     sid = I.spec_id({"model": F.col("model_id"), "role": F.col("role"), "ticker": F.col("ticker").cast("string")})
     return ic.select(family.alias("family"), sid.alias("spec_id"), F.round("rank_ic", 6).alias("rank_ic"), "n").withColumn("p", F.round(1 - F.abs("rank_ic"), 6))
