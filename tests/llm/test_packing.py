@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from signalpanel.llm.packing import count_tokens, pack, plan_containers
 
 
@@ -55,5 +57,5 @@ def test_pack_empty_and_repeated(spark):
 
 
 def test_count_tokens(spark):
-    df = spark.createDataFrame([("a b, c",), ("",), (None,), ("日本。",)], "t string").select(count_tokens("t").alias("n"))
-    assert [r.n for r in df.collect()] == [4, 0, None, 2]
+    df = spark.createDataFrame([("a b, c",), ("",), (None,), ("日本。",), ("½ x_1 ٣ \u200b\x1cé̂",)], "t string").select(count_tokens(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [4, 0, None, 2, 6]
