@@ -28,9 +28,9 @@ from signalpanel.session import cut, even
 #: A case: share of the item's words held, and words in a stretch that counts beside others.
 MIN_SHARE, MIN_STRETCH = 0.4, 12
 #: Rows of the window table that are broadcast at once (some 24 bytes each).
-BLOCK_ROWS = 4_000_000
+BLOCK_ROWS = 1_500_000
 #: Characters of text read at once, and the least and largest bitmap, as logarithms of its bits.
-CHARS, LOG2_BITS = 8_000_000, (16, 28)
+CHARS, LOG2_BITS = 2_000_000, (16, 28)
 _BREAK = "\x00"
 
 
