@@ -70,8 +70,7 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of documents whose label is missing, wrong, or one of several languages."""
     whole = _spans(spark, d).where("whole").groupBy("doc_id").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
-    label = F.pandas_udf(label_language, "string")
-    labels = table(spark, d, "documents").select("doc_id", label("lang").alias("label"))
+    labels = table(spark, d, "documents").select("doc_id", label_language(F.col("lang")).alias("label"))
     cases = whole.join(labels, "doc_id").where((F.size("langs") > 1) | (F.col("langs")[0] != F.col("label")))
     return cases.select("doc_id", F.explode("langs").alias("lang")).distinct()
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from signalpanel.llm import language as L
 
@@ -57,6 +58,30 @@ def test_shortcut_gives_the_viterbi_path():
         assert abs(value(L.label_words(s, list(ends))) - value(paths[int(best.argmax())])) < 1e-9
 
 
-def test_labels():
-    got = L.label_language(pd.Series(["EN", "en_GB", "English", "deu", "pt-BR", None, "", " unknown ", "und", "Japanese", "zh"]))
-    assert list(got) == ["en", "en", "en", "de", "pt", "", "", "", "", "ja", ""]
+def test_labels(spark):
+    labels = ["EN", "en_GB", "English", "deu", "pt-BR", None, "", " unknown ", "und", "Japanese", "zh", "Portuguese (Brazil)"]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(labels)], "n int, x string").select("n", L.label_language(F.col("x")).alias("c"))
+    want = ["en", "en", "en", "de", "pt", "", "", "", "", "ja", "", "pt"]
+    assert [r.c for r in df.orderBy("n").collect()] == want == L._code_of(pd.Series(labels))
+
+
+def test_scripts(spark):
+    """Scripts of one language have it, shared scripts and unknown words have none, and mixed texts keep their Latin stretches."""
+    known = [(t, lang) for lang, t in TEXTS.items()] * 3
+    rows = [
+        ("Компания ожидает, что спрос на программное обеспечение восстановится во втором полугодии.", "en"), ("회사는 하반기에 소프트웨어 수요가 회복될 것으로 예상하고 있습니다.", None),
+        ("Η εταιρεία αναμένει ότι η ζήτηση λογισμικού θα ανακάμψει το δεύτερο εξάμηνο.", None), ("公司预计下半年软件需求将会恢复并且价格将继续上升直到年底。", "ja"), (TEXTS["ja"], None), ("qwzx vkjq xqzw wvkx zzqk", "en"),
+        (TEXTS["en"] + " " + TEXTS["en"] + "\n\n회사는 하반기에 소프트웨어 수요가 회복될 것으로 예상하고 있습니다.", None),
+        ("Ｔｈｅ ｇｒｏｕｐ ｅｘｐｅｃｔｓ ｔｈａｔ ｄｅｍａｎｄ ｆｏｒ ｆｒｅｉｇｈｔ ｓｏｆｔｗａｒｅ ｗｉｌｌ ｒｅｃｏｖｅｒ ｉｎ ｔｈｅ ｓｅｃｏｎｄ ｈａｌｆ ｏｆ ｔｈｅ ｙｅａｒ．", "de"),
+    ]
+    got = run(spark, known + rows)
+    n = len(known)
+    assert [[r.lang for r in got[n + k]] for k in range(8)] == [["und"], ["ko"], ["el"], ["zh"], ["ja"], ["und"], ["en", "ko"], ["en"]]
+    assert got[n][0].confidence == 0.5 and got[n + 5][0].confidence == 0 and not got[n][0].whole and not got[n + 5][0].whole
+    assert 0.5 < got[n + 3][0].confidence and got[n + 3][0].whole and got[n + 7][0].whole
+
+
+def test_sample_is_bounded_where_ids_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_TEXTS", 3)
+    same = spark.createDataFrame([(1, t, lang) for lang, t in TEXTS.items()] + [(None, TEXTS["en"], "en")], "doc_id long, text string, lang string")
+    assert L.word_scores(same, "doc_id", "text", "lang")
