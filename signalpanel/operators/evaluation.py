@@ -104,8 +104,8 @@ def ranked_cross_section(rows: DataFrame, keys: list[str], value: str) -> DataFr
 def signal_direction(validation: DataFrame, keys: list[str], requested: Column | None = None, volatility: Column | None = None) -> DataFrame:
     """direction by group: 1 if the high leg's mean target is at least the low leg's on validation rows, else -1; 1 without legs.
 
-    Legs are those of :func:`ranked_cross_section`, over whole groups of any size. volatility (an aggregate or literal) gives -1 where it is true, and
-    requested, where it is 1 or -1, goes before both.
+    Legs are those of :func:`ranked_cross_section`, over whole groups of any size. requested (an aggregate or literal), where it is 1 or -1, goes
+    before that, and volatility, where it is true, gives -1 before both.
     """
     r = value_ranks(validation, keys, ["yhat"])
     leg = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
@@ -115,10 +115,10 @@ def signal_direction(validation: DataFrame, keys: list[str], requested: Column |
     has = F.col("_lo") < F.col("_hi")
     spread = F.avg(F.when(has & (F.col("yhat") >= F.col("_hi")), F.col("y"))) - F.avg(F.when(has & (F.col("yhat") <= F.col("_lo")), F.col("y")))
     chosen = F.when(F.coalesce(spread, F.lit(0.0)) >= 0, 1).otherwise(-1)
-    if volatility is not None:
-        chosen = F.when(volatility, -1).otherwise(chosen)
     if requested is not None:
         chosen = F.when(requested.isin(1, -1), requested).otherwise(chosen)
+    if volatility is not None:
+        chosen = F.when(volatility, -1).otherwise(chosen)
     return m.groupBy(*keys).agg(chosen.alias("direction"))
 
 

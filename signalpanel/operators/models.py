@@ -313,3 +313,9 @@ def truncated_svd(entries: DataFrame, scope: list[str], doc: str, term: str, val
                 yield out
 
     return per_doc.select(*scope, "d", "t", "v").mapInPandas(project, f"{kinds}, d {e.schema['d'].dataType.simpleString()}, component int, score double").withColumnRenamed("d", doc)
+
+
+def model_manifest(assignments: DataFrame, keys: list[str], version: str, selection_metric: str) -> DataFrame:
+    """keys, n_train, n_validation, n_test, selection_metric, version: rows by role, of those that pass the leakage check; a key without any passing row has zeros."""
+    of = lambda role: F.count_if((F.col("role") == role) & (F.col("status") == "pass")).alias(f"n_{role}")
+    return assignments.groupBy(*keys).agg(of("train"), of("validation"), of("test")).withColumns({"selection_metric": F.lit(selection_metric), "version": F.lit(version)})

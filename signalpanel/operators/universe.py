@@ -65,13 +65,6 @@ def coverage_waterfall(expected: DataFrame, predicted: DataFrame, eligible: Data
     return e.join(n, how="cross").withColumns({"expected_ratio": r("n_predicted", "n_expected"), "eligible_ratio": r("n_predicted", "n_eligible")})
 
 
-def coverage_by(failures: DataFrame, by: str) -> DataFrame:
-    """Failures by key with the most common stage (ties by name)."""
-    n = failures.groupBy(by, "stage").agg(F.count("*").alias("c"))
-    top = n.groupBy(by).agg(F.sum("c").alias("n_failures"), F.max(F.struct("c", F.col("stage").alias("s"))).alias("t"), F.min_by("stage", F.struct((-F.col("c")).alias("c"), "stage")).alias("top_stage"))
-    return top.drop("t")
-
-
 def audit(checks: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
     """check_id, status, observed: each check is an aggregate of one row; fail and warn are conditions over its columns."""
     out = None

@@ -38,13 +38,6 @@ def f14(s: SparkSession, d: str) -> DataFrame:
     return meta(s, d).select("ticker", E.industry_key("industry", "sector").alias("industry_key"))
 
 
-def f34(s: SparkSession, d: str) -> DataFrame:
-    """Role of a specification: primary for the preferred target and model, robustness for allowed ones, else exploratory."""
-    c = scored(s, d).select("model", "split_id", "ticker").distinct()
-    preferred = (F.col("model") == "m1") & (F.col("split_id") == 2000)
-    return c.withColumn("spec_role", F.when(preferred, "primary").when(F.col("model").isin("m1", "m2") & (F.col("split_id") == 1999), "robustness").otherwise("exploratory")).groupBy("model", "split_id", "spec_role").agg(F.count("*").alias("n"))
-
-
 def f30(s: SparkSession, d: str) -> DataFrame:
     """Exchange and share-class codes, prefix number of a scale text, estimated-cap flag, feature id."""
     m = table(s, d, MASTER).select("record_id", "entity_id", "exchange", "share_class", "source_version").distinct()
@@ -144,13 +137,12 @@ def s10(s: SparkSession, d: str) -> DataFrame:
 _MAS = f"(select distinct record_id, entity_id, exchange, share_class, source_version from {MASTER})"
 _J7 = f"{PANEL_SQL}, {EVENTS_SQL}, reb as (select max(date) rebalance from panel group by year(date), month(date)), sig as (select e.ticker, rebalance, arg_max(yhat, (event_date, doc_id)) yhat from reb join events0 e on e.event_date <= rebalance and rebalance - e.event_date <= 370 group by 1, 2)"
 QUERIES = {
-    "F10_F11_F12_F35_predicates": f10, "F14_industry_key": f14, "F34_F37_spec_roles": f34, "F23_F28_F30_codes": f30, "A16_delisting_report": a16, "A28_scope_counts": a28, "A29_stability": a29, "A31_document_sets": a31,
+    "F10_F11_F12_F35_predicates": f10, "F14_industry_key": f14, "F23_F28_F30_codes": f30, "A16_delisting_report": a16, "A28_scope_counts": a28, "A29_stability": a29, "A31_document_sets": a31,
     "O5_first_k": o5, "R11_filing_index": r11, "R13_metadata_features": r13, "R28_monthly_panel": r28, "R40_membership": r40, "S8_section_map": s8, "S7_whole_files": s7, "S10_U7_terms": s10,
 }
 ORACLES = {
     "F10_F11_F12_F35_predicates": "select c_custkey, case when c_custkey % 5 <> 0 and c_custkey % 3 < 2 then cast(c_custkey % 3 as varchar) end split_id, case when c_custkey % 5 <> 0 and c_custkey % 3 < 2 then ['train', 'test'][c_custkey % 3 + 1] end role, c_custkey % 2 = 0 volatility, false ablation, ['combined', 'baseline', 'other'][c_custkey % 3 + 1] method from customer",
     "F14_industry_key": f"with {META_SQL} select ticker, coalesce(nullif(industry, ''), nullif(sector, ''), '__MISSING_INDUSTRY__') industry_key from meta",
-    "F34_F37_spec_roles": f"with {SCORED_SQL} select model, split_id, case when model = 'm1' and split_id = 2000 then 'primary' when split_id = 1999 then 'robustness' else 'exploratory' end spec_role, count(distinct ticker) n from scored group by 1, 2, 3",
     "F23_F28_F30_codes": f"select record_id, max(case upper(exchange) when 'NYSE' then 1 when 'NASDAQ' then 3 else 0 end) exchange_code, max(try_cast(regexp_extract(source_version, '^(\\d+)', 1) as int)) \"year\", max(concat_ws(':', entity_id, 'meta', source_version)) feature_id, max(case when regexp_matches(lower(coalesce(source_version, '')), 'not_crsp|estimate|proxy') then 1 else 0 end) estimated from {_MAS} group by 1",
     "A16_delisting_report": f"with {PANEL_SQL}, n as (select count(*) filter (where day(date) = 13 and ticker % 2 = 0) n_applied, count(*) filter (where day(date) = 13 and ticker % 2 = 1) n_missing from panel) select *, case when n_missing > 0 then 'fail' when n_applied > 0 then 'pass' else 'not_applicable' end status from n",
     "A28_scope_counts": "select scope, count(*) n from (select unnest(['full', source]) scope from documents where trim(text, ' ') <> '') group by 1",

@@ -59,15 +59,6 @@ def f43(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy("ticker").agg(F.min("row_id").alias("first_row"))
 
 
-def a26(s: SparkSession, d: str) -> DataFrame:
-    """Ablation summary: models of a fixed list with their family and pooled rank correlation."""
-    from signalpanel.plans.base import scored
-
-    family = F.create_map(F.lit("m1"), F.lit("size"), F.lit("m2"), F.lit("quantity"))
-    ic = E.information_coefficients(scored(s, d).where("role = 'test'"), ["model"])
-    return _round(ic.select("model", F.try_element_at(family, F.col("model")).alias("family"), "rank_ic", "n"))
-
-
 def r42(s: SparkSession, d: str) -> DataFrame:
     """Universe seed rows: rank-based placeholder size where the cap is unknown, flagged as an estimate."""
     from pyspark.sql import Window
@@ -80,7 +71,7 @@ def r42(s: SparkSession, d: str) -> DataFrame:
 
 _OOS = f"{_FWD}, oos as (select 'test_' || year(f.event_date) split_id, f.doc_id, round(volatility, 6) y, e.yhat from fwd f join events0 e using (doc_id) where n_rows = 20 and year(f.event_date) between 1999 and 2001 and volatility is not null and window_start > f.event_date), bo as (select * from oos union all select 'ALL_SPLITS', doc_id, y, yhat from oos), rk as (select *, rank() over (partition by split_id order by y) + (count(*) over (partition by split_id, y) - 1) / 2.0 ry, rank() over (partition by split_id order by yhat) + (count(*) over (partition by split_id, yhat) - 1) / 2.0 rp from bo)"
 _M = "o_orderkey % 100 / 100 - 0.5"
-QUERIES = {"flow_rank_ic": flow_rank_ic, "F33_F36_F38_test_scores": f33, "F40_F41_windows": f41, "F43_tickers": f43, "A26_ablation": a26, "R42_seed_rows": r42}
+QUERIES = {"flow_rank_ic": flow_rank_ic, "F33_F36_F38_test_scores": f33, "F40_F41_windows": f41, "F43_tickers": f43, "R42_seed_rows": r42}
 ORACLES = {
     "flow_rank_ic": f"with {_OOS} select split_id, round({_C.format('y', 'yhat')}, 6) + 0.0 ic, round({_C.format('ry', 'rp')}, 6) + 0.0 rank_ic, count(*) n from rk group by 1",
     "F33_F36_F38_test_scores": f"select o_orderkey, case when o_orderkey % 2 = 0 and o_orderkey % 3 = 0 then 'newey_west_normal' else 'sharpe_normal' end \"method\", case when o_orderkey % 7 >= 4 then round(atanh({_M}) * sqrt(o_orderkey % 7 - 3), 6) + 0.0 end fisher, case when o_orderkey % 7 >= 2 then round(({_M}) * sqrt((o_orderkey % 7) / 252.0), 6) + 0.0 end sharpe, true available from orders",

@@ -139,29 +139,10 @@ def _failures(s: SparkSession, d: str) -> DataFrame:
     return lost.withColumn("stage", F.when(F.col("doc_id") % 10 == 3, "missing_feature").otherwise("missing_model_prediction"))
 
 
-def a21(s: SparkSession, d: str) -> DataFrame:
-    return U.coverage_by(_failures(s, d), "ticker")
-
-
 def a22(s: SparkSession, d: str) -> DataFrame:
     return _failures(s, d).groupBy("stage", "model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stage", "model").limit(10)
 
 
-def r34(s: SparkSession, d: str) -> DataFrame:
-    m = _manifest(s, d)
-    _, expected, predicted = _cover(s, d)
-    early = m.agg(F.sum((F.to_date("available_time_utc") < F.col("event_date")).cast("long")).alias("n_before_event"))
-    orphans = j12(s, d)
-    repeated = m.groupBy("document_id").agg(F.count("*").alias("k")).agg(F.sum((F.col("k") > 1).cast("long")).alias("n_repeated"))
-    cover = a20(s, d)
-    rep = U.audit([("feature_lookahead", early, F.col("n_before_event") > 0, F.lit(False)), ("prediction_label_alignment", orphans, F.col("n_orphans") > 0, F.lit(False)), ("repeated_deliveries", repeated, F.lit(False), F.col("n_repeated") > 0), ("coverage_waterfall", cover, F.col("expected_ratio") < 0.8, F.col("expected_ratio") < 0.95)])
-    return rep.select("check_id", "status")
-
-
-def r34_status(s: SparkSession, d: str) -> DataFrame:
-    return U.overall_status(r34(s, d))
-
-
 def u_sets(s: SparkSession, d: str) -> DataFrame:
     a, b = table(s, d, "vendor_prices").select(T.ticker("ticker").alias("t")), table(s, d, "prices").select(T.ticker("ticker").alias("t"))
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
@@ -223,14 +204,10 @@ _UT = "upper(regexp_replace(ticker, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
 _COV = f"{EVENTS_SQL}, e as (select doc_id, ticker from events0 where year(event_date) >= 1999), x as (select *, unnest(['m1', 'm2']) model from e), pr as (select * from x where not (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4))), fl as (select *, case when doc_id % 10 = 3 then 'missing_feature' else 'missing_model_prediction' end stage from x where (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4)))"
 _A20 = "select (select count(*) from x) n_expected, (select count(*) from pr) n_predicted, (select count(*) from e) n_eligible, round((select count(*) from pr) / (select count(*) from x), 6) expected_ratio, round((select count(*) from pr) / (select count(*) from e), 6) eligible_ratio"
 _CIK = "regexp_replace(trim(cik), '[^0-9]', '', 'g')"
-_R34 = f"""{_COV}, a as ({_A20}) select 'feature_lookahead' check_id, case when (select count(*) from document_manifest where cast(available_time_utc as date) < event_date) > 0 then 'fail' else 'pass' end status
- union all select 'prediction_label_alignment', case when (select count(*) from documents where document_id is not null and document_id not in (select document_id from document_manifest)) > 0 then 'fail' else 'pass' end
- union all select 'repeated_deliveries', case when (select max(k) from (select count(*) k from document_manifest group by document_id)) > 1 then 'warn' else 'pass' end
- union all select 'coverage_waterfall', case when expected_ratio < 0.8 then 'fail' when expected_ratio < 0.95 then 'warn' else 'pass' end from a"""
 QUERIES = {
     "F5_F6_F7_F9_ids": f_ids, "F15_F39_identifiers": f15, "F16_acceptance_time": f16, "F13_F17_F20_filing_fields": f17, "F22_F26_F29_numbers": f26, "J1_inner": j1, "J4_last_wins": j4, "J9_interval_validity": j9, "J10_left": j10,
     "J11_semi": j11, "J12_anti": j12, "J13_anti_pair": j13, "J14_expected": j14, "J16_next_session": j16, "J17_latest_link": j17, "R6_R7_event_day": r6, "W11_first_filing": w11, "W12_selection_rank": w12, "A23_universe_quality": a23,
-    "A20_R33_coverage": a20, "A21_coverage_by_ticker": a21, "A22_failure_reasons": a22, "R34_audit": r34, "R34_overall_status": r34_status, "U1_U8_sets": u_sets, "O3_O4_top_rows": o3, "O7_extremes": o7, "R41_A27_adjusted_close": r41, "R39_market_cap": r39,
+    "A20_R33_coverage": a20, "A22_failure_reasons": a22, "U1_U8_sets": u_sets, "O3_O4_top_rows": o3, "O7_extremes": o7, "R41_A27_adjusted_close": r41, "R39_market_cap": r39,
     "S1_S15_jsonl": s1, "S3_S18_csv": s3, "S9_flag_dictionary": s9, "S11_zip_arrays": s11, "S17_partitioned_matrix": s17,
 }
 ORACLES = {
@@ -254,9 +231,7 @@ ORACLES = {
     "W12_selection_rank": f"with {META_SQL} select ticker, sector, cast(row_number() over (partition by sector order by cap desc nulls last, ticker) as int) rank from meta",
     "A23_universe_quality": f"select count(*) n_rows, count(distinct entity_id) n_entities, count(*) filter (where permno is null) n_no_permno, count(*) filter (where gvkey is null) n_no_gvkey, count(*) filter (where gics_industry is null) n_no_industry, count(*) filter (where historical_ticker is null or trim(historical_ticker) = '') n_no_ticker, count(*) filter (where name_end_date < name_start_date) n_inverted, count(*) filter (where cast(available_time_utc as date) > snapshot_date + 60) n_late, count(*) - count(distinct record_id) n_repeated from {MASTER}",
     "A20_R33_coverage": f"with {_COV} {_A20}",
-    "A21_coverage_by_ticker": f"with {_COV}, c as (select ticker, stage, count(*) c from fl group by 1, 2) select ticker, cast(sum(c) as bigint) n_failures, arg_min(stage, (-c, stage)) top_stage from c group by 1",
     "A22_failure_reasons": f"with {_COV} select stage, model, count(*) n from fl group by 1, 2 order by n desc, stage, model limit 10",
-    "R34_audit": f"with {_R34}", "R34_overall_status": f"with r as (with {_R34}) select case when count(*) filter (where status = 'fail') > 0 then 'fail' when count(*) filter (where status = 'warn') > 0 then 'warn' else 'pass' end status, count(*) filter (where status = 'fail') n_fail, count(*) filter (where status = 'warn') n_warn, count(*) filter (where status = 'pass') n_pass from r",
     "U1_U8_sets": f"with a as (select {_UT} t from vendor_prices), b as (select {_UT} t from prices) select 'union_all' op, count(*) n from (select * from a union all select * from b) union all select 'union', count(*) from (select * from a union select * from b) union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'except', count(*) from (select * from a except select * from b) union all select 'except_all', count(*) from (select * from a except all select * from b)",
     "O3_O4_top_rows": "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 12",
     "O7_extremes": f"with {META_SQL} select sector, arg_max(ticker, (cap, ticker)) largest, arg_min(ticker, (cap, ticker)) smallest from meta where cap is not null group by 1",

@@ -38,4 +38,5 @@ def test_direction(spark):
     of = lambda **kw: {r.g: r.direction for r in E.signal_direction(df, ["g"], **kw).collect()}
     assert of() == {"up": 1, "down": -1, "flat": 1}
     assert of(volatility=F.lit(True)) == {"up": -1, "down": -1, "flat": -1}
-    assert of(requested=F.lit(1), volatility=F.lit(True)) == {"up": 1, "down": 1, "flat": 1}
+    assert of(requested=F.lit(1)) == {"up": 1, "down": 1, "flat": 1}
+    assert of(requested=F.lit(1), volatility=F.lit(True)) == {"up": -1, "down": -1, "flat": -1}
