@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=200_000)
 def _parts(word: str) -> list[str]:
     return re.split(r"['’]", fold(word))
 
