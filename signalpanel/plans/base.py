@@ -15,9 +15,9 @@ META_SQL = "meta as (select s_suppkey ticker, case when n_nationkey % 7 = 0 then
 #: Two models' predictions by split (year) and role.
 SCORED_SQL = f"""{EVENTS_SQL}, {META_SQL},
 scored as (select 'm1::y::' || year(event_date) model_id, 'm1' model, year(event_date) split_id, case when year(event_date) >= 1999 then 'test' else 'validation' end role, doc_id, e.ticker, event_date, y, yhat, industry, sector, cap
-  from events0 e join meta m on e.ticker = m.ticker where year(event_date) >= 1998
+  from events0 e join meta m on e.ticker = m.ticker
 union all select 'm2::y::' || year(event_date), 'm2', year(event_date), case when year(event_date) >= 1999 then 'test' else 'validation' end, doc_id, e.ticker, event_date, y, yhat2, industry, sector, cap
-  from events0 e join meta m on e.ticker = m.ticker where year(event_date) >= 1998)"""
+  from events0 e join meta m on e.ticker = m.ticker)"""
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where(F.year("event_date") >= 1998).join(meta(spark, d), "ticker")
+    e = events(spark, d).join(meta(spark, d), "ticker")
     e = e.withColumns({"split_id": F.year("event_date"), "role": F.when(F.year("event_date") >= 1999, "test").otherwise("validation")})
     both = F.inline(F.array(F.struct(F.lit("m1").alias("model"), F.col("yhat").cast("double").alias("p")), F.struct(F.lit("m2").alias("model"), F.col("yhat2").cast("double").alias("p"))))
     rows = e.select("split_id", "role", "doc_id", "ticker", "event_date", "y", "industry", "sector", "cap", both)

@@ -77,7 +77,7 @@ def a12(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tests(s: SparkSession, d: str) -> DataFrame:
-    ic = E.information_coefficients(scored(s, d), ["model_id", "role", "ticker"], cross_sections=True).where("n >= 4")
+    ic = E.information_coefficients(scored(s, d), ["model_id", "role", "ticker"], cross_sections=True)
     family = F.concat_ws("|", F.split("model_id", "::")[0], "role")
     sid = I.spec_id({"model": F.col("model_id"), "role": F.col("role"), "ticker": F.col("ticker").cast("string")})
     return ic.select(family.alias("family"), sid.alias("spec_id"), F.round("rank_ic", 6).alias("rank_ic"), "n").withColumn("p", F.round(1 - F.abs("rank_ic"), 6))
@@ -114,7 +114,7 @@ def _perf(key: str) -> str:
 select {key.split(" ")[-1]}, count(*) n, round(product(1 + r) - 1, 5) + 0.0 cumulative, round(stddev_samp(r) * sqrt(252), 5) volatility, round(avg(r) / stddev_samp(r) * sqrt(252), 5) sharpe, round(avg(case when r > 0 then 1.0 else 0.0 end), 5) hit_rate, round(least(0, min(wv / peak - 1)), 5) + 0.0 max_drawdown from pk group by 1"""
 
 
-_P = f"""{_RANKS_G.replace("partition by model_id, role", "partition by model_id, role, ticker")}, ic as (select model_id, role, ticker, round({_C.format("ry", "rp")}, 6) rank_ic, count(*) n from ranked group by 1, 2, 3 having count(*) >= 4),
+_P = f"""{_RANKS_G.replace("partition by model_id, role", "partition by model_id, role, ticker")}, ic as (select model_id, role, ticker, round({_C.format("ry", "rp")}, 6) rank_ic, count(*) n from ranked group by 1, 2, 3),
 t as (select split_part(model_id, '::', 1) || '|' || role family, substr(sha256('{{"model": "' || model_id || '", "role": "' || role || '", "ticker": "' || ticker || '"}}'), 1, 16) spec_id, rank_ic + 0.0 rank_ic, n, round(1 - abs(rank_ic), 6) p from ic),
 o as (select *, count(*) over (partition by family) m, row_number() over (partition by family order by p, spec_id) i from t)"""
 QUERIES = {

@@ -86,9 +86,9 @@ def j13(s: SparkSession, d: str) -> DataFrame:
 
 
 def j14(s: SparkSession, d: str) -> DataFrame:
-    expected = s.createDataFrame([(y, m) for y in (2019, 2020, 2021) for m in ("ridge", "mean")], "fiscal_year int, model string")
-    m = _manifest(s, d).select("document_id", "fiscal_year").distinct()
-    return m.join(F.broadcast(expected), "fiscal_year").groupBy("fiscal_year", "model").agg(F.count("*").alias("n"))
+    m = _manifest(s, d).select("document_id", "fiscal_year").where("fiscal_year is not null").distinct()
+    expected = m.select("fiscal_year").distinct().withColumn("model", F.explode(F.array(F.lit("ridge"), F.lit("mean"))))
+    return m.join(expected, "fiscal_year").groupBy("fiscal_year", "model").agg(F.count("*").alias("n"))
 
 
 def j16(s: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def a23(s: SparkSession, d: str) -> DataFrame:
 
 
 def _cover(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = events(s, d).where(F.year("event_date") >= 1999).select("doc_id", "ticker", F.year("event_date").alias("split_id"))
+    e = events(s, d).select("doc_id", "ticker", F.year("event_date").alias("split_id"))
     both = e.withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
     return e, both, both.where("not (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4))")
 
@@ -201,7 +201,7 @@ def s17(s: SparkSession, d: str) -> DataFrame:
 
 
 _UT = "upper(regexp_replace(ticker, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
-_COV = f"{EVENTS_SQL}, e as (select doc_id, ticker from events0 where year(event_date) >= 1999), x as (select *, unnest(['m1', 'm2']) model from e), pr as (select * from x where not (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4))), fl as (select *, case when doc_id % 10 = 3 then 'missing_feature' else 'missing_model_prediction' end stage from x where (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4)))"
+_COV = f"{EVENTS_SQL}, e as (select doc_id, ticker from events0), x as (select *, unnest(['m1', 'm2']) model from e), pr as (select * from x where not (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4))), fl as (select *, case when doc_id % 10 = 3 then 'missing_feature' else 'missing_model_prediction' end stage from x where (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4)))"
 _A20 = "select (select count(*) from x) n_expected, (select count(*) from pr) n_predicted, (select count(*) from e) n_eligible, round((select count(*) from pr) / (select count(*) from x), 6) expected_ratio, round((select count(*) from pr) / (select count(*) from e), 6) eligible_ratio"
 _CIK = "regexp_replace(trim(cik), '[^0-9]', '', 'g')"
 QUERIES = {
@@ -222,7 +222,7 @@ ORACLES = {
     "J11_semi": f"select {_UT} ticker, count(*) n from prices where {_UT} in (select {_UT} from {MASTER} where ticker is not null) group by 1",
     "J12_anti": "select count(*) n_orphans from documents where document_id is not null and not exists (select 1 from document_manifest m where m.document_id = documents.document_id)",
     "J13_anti_pair": "select distinct resolution_id from event_date_resolution r where not exists (select 1 from event_date_resolution e where e.resolution_id % 7 = 0 and e.document_id = r.document_id and e.exchange = r.exchange)",
-    "J14_expected": "select fiscal_year, model, count(*) n from (select distinct document_id, fiscal_year from document_manifest) cross join (select unnest(['ridge', 'mean']) model) where fiscal_year in (2019, 2020, 2021) group by 1, 2",
+    "J14_expected": "select fiscal_year, model, count(*) n from (select distinct document_id, fiscal_year from document_manifest) cross join (select unnest(['ridge', 'mean']) model) where fiscal_year is not null group by 1, 2",
     "J16_next_session": "select event_date, (select min(session_date) from market_sessions where session_date >= event_date and session_date <= event_date + 14) next_session from (select distinct event_date from document_manifest)",
     "J17_latest_link": "select permno, arg_max(link_id, (link_start_date, link_id)) link_id, max(link_start_date) link_start_date, arg_max(ticker, (link_start_date, link_id)) ticker from entity_link_history where permno is not null group by 1",
     "R6_R7_event_day": """with e as (select row_id, timezone('America/New_York', available_time_utc::timestamptz) l from document_manifest), f as (select row_id, cast(l as date) local_day, case when exists (select 1 from market_sessions where session_date = cast(l as date) and date_part('hour', l) * 60 + date_part('minute', l) + date_part('second', l) / 60.0 <= case when is_early_close then 780 else 960 end) then cast(l as date) else cast(l as date) + 1 end f from e)

@@ -28,7 +28,7 @@ def f1_tokens(s: SparkSession, d: str) -> DataFrame:
 
 def f2_bigrams(s: SparkSession, d: str) -> DataFrame:
     g = docs(s, d).select(T.tokens("text").alias("t")).select(F.explode(T.ngrams(F.col("t"), 1, 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    return g.where("n >= 50")
+    return g
 
 
 def f4_tone(s: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ ORACLES = {
     "A18_R14_split_tfidf": f"with {_SPLITS}, z as (select split_id, doc_id, term, (1 + ln(c)) * (ln((1 + n_docs) / (1 + df)) + 1) v from sd join dg using (doc_id) join voc using (split_id, term)) select split_id, doc_id, term, round(v / sqrt(sum(v * v) over (partition by split_id, doc_id)), 6) \"value\" from z",
     "R35_split_manifest": f"with {_SPLITS} select split_id, count(*) n_terms, sha256(string_agg(term, ',' order by term_index)) digest from voc group by 1",
     "F1_F3_tokens": f"with {_TOK} select doc_id, cast(len(t) as int) n_words, md5(array_to_string(t, ' ')) digest from toks",
-    "F2_ngrams": f"with {_TOK}, g as (select unnest(t) gram from toks union all select unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) from toks) select gram, count(*) n from g group by 1 having count(*) >= 50",
+    "F2_ngrams": f"with {_TOK}, g as (select unnest(t) gram from toks union all select unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) from toks) select gram, count(*) n from g group by 1",
     "F4_R12_dictionary_tone": f"with {_TOK}, {_DICT} select doc_id, c.category, cast(len(t) as int) n_words, cast(len([x for x in t if x in c.terms]) as bigint) hits, round(len([x for x in t if x in c.terms]) / greatest(len(t), 1), 6) \"share\" from toks cross join (select category, list(term) terms from dict group by 1) c",
     "A17_vocabulary": f"with {_VOC} select scope, term, df, tf, n_docs, term_index from voc",
     "A18_R14_tfidf": f"with {_VOC}, v as (select scope, doc_id, term, (1 + ln(c)) * (ln((1 + n_docs) / (1 + df)) + 1) v from g join voc using (scope, term)) select scope, doc_id, term, round(v / sqrt(sum(v * v) over (partition by scope, doc_id)), 6) \"value\" from v",

@@ -48,7 +48,3 @@ def even(df: DataFrame) -> DataFrame:
     """
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Former name of :func:`even`."""
-    return even(df)
