@@ -23,6 +23,12 @@ def latest_rows(df: DataFrame, keys: list[str], fields: list[str], loaded: str)
     return df.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.f.*")
 
 
+def residues(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """cols, _n: the distinct rows of EXCEPT ALL in both directions, with how often they come out: n times of the left one, -n times of the right one."""
+    both = left.select(*cols, F.lit(1).alias("_n")).unionByName(right.select(*cols, F.lit(-1).alias("_n")))
+    return both.groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+
+
 def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: dict[str, Callable[[Column, Column], Column]], left_name: str, right_name: str) -> DataFrame:
     """keys, finding, left_value, right_value: one row for each one-sided key (``missing_in_<name>``) and each differing field.
 
@@ -31,9 +37,7 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: dict
     residues are then full-joined by key and compared by each field's own predicate (null-safe). Keys never hold a null. Empty sides
     are allowed. Columns other than keys and fields are ignored, whatever their names.
     """
-    cols = [*keys, *fields]
-    both = left.select(*cols, F.lit(1).alias("_n")).unionByName(right.select(*cols, F.lit(-1).alias("_n")))
-    residue = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    residue = residues(left, right, [*keys, *fields])
     side = lambda sign, name: residue.where(F.col("_n") * sign > 0).select(*keys, F.struct(*fields).alias(name))
     joined = side(1, "l").join(side(-1, "r"), keys, "full")
     return _findings(joined, keys, fields, left_name, right_name)

@@ -1,8 +1,10 @@
+import random
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from signalpanel.operators.diff import diff_copies, latest_rows, relative_apart, unequal
+from signalpanel.operators.diff import diff_copies, latest_rows, relative_apart, residues, unequal
 from signalpanel.operators.grid import to_grid
 
 DAYS = [date(2020, 1, 1) + timedelta(n) for n in (0, 1, 2, 5, 6, 7, 8, 9, 12)]
@@ -41,3 +43,13 @@ def test_diff(spark):
     assert diff(spark, left, right) == want
     assert diff(spark, left * 2, right * 2) == want
     assert diff(spark, [], []) == [] and diff(spark, left[:1], []) == [("same", "missing_in_copy")]
+
+
+def test_residues_are_those_of_except_all(spark):
+    rnd = random.Random(11)
+    side = lambda: spark.createDataFrame([(rnd.choice(("a", "b", None)), rnd.choice((1, 2, None))) for _ in range(200)], "k string, v int")
+    a, b = side(), side()
+    got = sorted((str((r.k, r.v)), r._n) for r in residues(a, b, ["k", "v"]).collect())
+    plain = Counter(str((r.k, r.v)) for r in a.exceptAll(b).collect())
+    plain.subtract(Counter(str((r.k, r.v)) for r in b.exceptAll(a).collect()))
+    assert got == sorted((k, n) for k, n in plain.items() if n) and got
