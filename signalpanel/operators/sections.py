@@ -42,7 +42,7 @@ def decode_entities(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)))
     last = lambda e: F.lower(e).isin("&amp;", "&#38;", "&#x26;")
     ordered = F.concat(F.filter(found, lambda e: ~last(e)), F.filter(found, last))
-    return F.when(text.contains("&"), F.aggregate(ordered, text, lambda t, e: F.replace(t, e, char(e)))).otherwise(text)
+    return F.aggregate(ordered, text, lambda t, e: F.replace(t, e, char(e)))
 
 
 def html_text(page: Column) -> Column:
@@ -53,10 +53,15 @@ def html_text(page: Column) -> Column:
     t = F.regexp_replace(page, rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(OPAQUE)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)", "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?=[\s/>])[^>]*>", "\n")
     t = F.regexp_replace(t, r"</?[A-Za-z][^>]*>|<[!?][^>]*>", "")
-    t = decode_entities(decode_entities(F.when(page.contains("<"), t).otherwise(page)))
+    t = F.when(page.contains("<"), t).otherwise(page)
+    # within lambdas, so that neither the text's expression nor the table of names is written out again for every use
+    once = lambda x: F.element_at(F.transform(F.array(x), decode_entities), 1)
+    t = F.when(t.contains("&"), F.element_at(F.transform(F.array(t), lambda x: once(decode_entities(x))), 1)).otherwise(t)
     t = F.regexp_replace(t, r"\r\n?|[\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\x{a0}]+", " "), r"(?m)^ | $", "")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    # only runs that change are matched; then no line has more than one blank at either end
+    t = F.regexp_replace(t, r"[ \t\x{a0}]{2,}|[\t\x{a0}]", " ")
+    t = F.replace(F.replace(t, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n"))
+    return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def diagnostics(page: Column) -> dict[str, Column]:
