@@ -94,22 +94,30 @@ def parse_target(c: Column) -> dict[str, Column]:
     return {"kind": F.when(ok, F.regexp_extract(c, pattern, 1)), "start": F.when(ok, a), "end": F.when(ok, b)}
 
 
-def build_labels(events: DataFrame, panel: DataFrame, benchmark: int | str, start: int, end: int, kind: str, keep: list[str]) -> DataFrame:
-    """label_value or failure for each event: CAR (sum less the benchmark's sum over its own rows) or volatility of the forward window.
+def build_labels(events: DataFrame, panel: DataFrame, benchmark: int | str, start: int, end: int, kinds: list[str], keep: list[str]) -> DataFrame:
+    """kind, label_value and failure for each event and kind: CAR (sum less the benchmark's sum over its own rows), realized_volatility or another kind, which is volatility by year.
 
     failure: ``insufficient_window`` (fewer rows than asked for), ``missing_return`` (a CAR's or all of a volatility's returns missing), ``insufficient_benchmark``.
+    All kinds share one computation of the windows.
     """
     size = end - start + 1
     own = forward_windows(events, panel, keep, start, end)
-    if kind != "CAR":
-        scale = F.lit(1.0) if kind == "realized_volatility" else F.sqrt(F.lit(252.0))
-        fail = F.when(F.col("n_rows") < size, "insufficient_window").when(F.col("n_returns") < 2, "missing_return")
-        return own.withColumns({"failure": fail, "label_value": F.when(fail.isNull(), F.col("volatility") * scale)})
     days = events.select("event_date").distinct().withColumn("ticker", F.lit(benchmark))
-    bench = forward_windows(days, panel.where(F.col("ticker") == benchmark), [], start, end)
-    both = own.join(bench.select("event_date", F.col("n_rows").alias("bn"), F.col("total").alias("bt")), "event_date", "left")
-    fail = F.when(F.col("n_rows") < size, "insufficient_window").when(F.col("n_returns") < size, "missing_return").when(F.coalesce("bn", F.lit(0)) < size, "insufficient_benchmark")
-    return both.withColumns({"failure": fail, "label_value": F.when(fail.isNull(), F.col("total") - F.col("bt"))}).drop("bn", "bt")
+    if "CAR" in kinds:
+        bench = forward_windows(days, panel.where(F.col("ticker") == benchmark), [], start, end).select("event_date", F.col("n_rows").alias("_bn"), F.col("total").alias("_bt"))
+        own = own.join(bench, "event_date", "left")
+
+    def one(kind: str) -> Column:
+        fail = F.when(F.col("n_rows") < size, "insufficient_window")
+        if kind == "CAR":
+            fail = fail.when(F.col("n_returns") < size, "missing_return").when(F.coalesce("_bn", F.lit(0)) < size, "insufficient_benchmark")
+            value = F.col("total") - F.col("_bt")
+        else:
+            fail = fail.when(F.col("n_returns") < 2, "missing_return")
+            value = F.col("volatility") * (F.lit(1.0) if kind == "realized_volatility" else F.sqrt(F.lit(252.0)))
+        return F.struct(F.lit(kind).alias("kind"), fail.alias("failure"), F.when(fail.isNull(), value).alias("label_value"))
+
+    return own.select("*", F.inline(F.array(*[one(k) for k in kinds]))).drop("_bn", "_bt")
 
 
 def expanding_windows(spark: SparkSession, first: int, last: int, train: int, validation: int, test: int, sample_end: date | None = None) -> DataFrame:

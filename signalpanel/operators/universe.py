@@ -56,6 +56,35 @@ def universe_quality(master: DataFrame) -> DataFrame:
     return one.join(dup, how="cross")  # one row each
 
 
+def duplicates(df: DataFrame, value: str, of: str) -> DataFrame:
+    """value, n: values that more than one distinct ``of`` has, nulls and blanks apart. Each once, whatever their number."""
+    named = df.where(F.trim(F.col(value).cast("string")) != "")
+    return named.groupBy(F.col(value).alias("value")).agg(F.countDistinct(of).alias("n")).where("n > 1")
+
+
+def universe_findings(master: DataFrame, links: DataFrame, least_confidence: float = 0.8) -> DataFrame:
+    """finding, severity, n: blockers and warnings of a security master and its entity links, with the number of rows or entities behind each; only those that hold.
+
+    Blockers: entities without a link, inverted name periods, overlapping record ids (one id, different rows). Warnings: links of low or no confidence, rows
+    published before their snapshot, entities without industry, tickers of several entities. Empty tables have no findings.
+    """
+    entities = master.where("entity_id is not null").groupBy("entity_id").agg(F.max(F.col("gics_industry").isNotNull()).alias("has_industry"))
+    unlinked = entities.join(links.select("entity_id").distinct(), "entity_id", "left_anti").agg(F.count("*").alias("n"))
+    ids = master.distinct().groupBy("record_id").agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("n"))
+    tickers = duplicates(master.withColumn("_t", F.upper(F.trim("historical_ticker"))), "_t", "entity_id").agg(F.count("*").alias("n"))
+    if_so = lambda df, cond: df.agg(F.count_if(F.coalesce(cond, F.lit(False))).alias("n"))
+    found = [
+        ("entity_without_link", "blocker", unlinked), ("inverted_name_period", "blocker", if_so(master, F.col("name_end_date") < F.col("name_start_date"))), ("reused_record_id", "blocker", ids),
+        ("low_confidence_link", "warning", links.agg(F.count_if(F.coalesce(F.col("link_confidence") < least_confidence, F.lit(True))).alias("n"))),
+        ("published_before_snapshot", "warning", if_so(master, F.to_date("available_time_utc") < F.col("snapshot_date"))), ("entity_without_industry", "warning", if_so(entities, ~F.col("has_industry"))), ("shared_ticker", "warning", tickers),
+    ]
+    out = None
+    for name, severity, one in found:
+        row = one.select(F.lit(name).alias("finding"), F.lit(severity).alias("severity"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out.where("n > 0")
+
+
 def coverage_waterfall(expected: DataFrame, predicted: DataFrame, eligible: DataFrame, keys: list[str]) -> DataFrame:
     """One row: counts of eligible, expected, predicted rows and their ratios (0 on an empty denominator)."""
     p = predicted.select(*keys).distinct().withColumn("_p", F.lit(1))

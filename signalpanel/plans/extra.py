@@ -13,6 +13,7 @@ from signalpanel.operators import panel as P
 from signalpanel.operators import portfolio as B
 from signalpanel.operators import universe as U
 from signalpanel.operators.ranks import value_ranks
+from signalpanel.plans import texts
 from signalpanel.plans.base import EVENTS_SQL, META_SQL, PANEL_SQL, SCORED_SQL, events, meta, panel, scored
 from signalpanel.plans.evaluate import _C, _LEGS, _RANKS_G, _round
 from signalpanel.session import table
@@ -128,10 +129,12 @@ def s7(s: SparkSession, d: str) -> DataFrame:
 
 
 def s10(s: SparkSession, d: str) -> DataFrame:
-    """Distinct terms of a word list with fallback."""
-    from signalpanel.plans.texts import dictionary
-
-    return dictionary(s).groupBy("category").agg(F.countDistinct("term").alias("n_terms"))
+    """Distinct terms by category of a word list from a file, and of the fallback where there is no file."""
+    path = S.scratch_path(s, "words")
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    S.write_table(n.select(F.col("r_name").alias("category"), F.explode(F.array("n_name", F.concat(F.lit(" "), F.lower("n_name")))).alias("term")), path, "csv")
+    read, spare = S.word_list(s, path, texts.WORDS), S.word_list(s, f"{path}/none", texts.WORDS)
+    return read.unionByName(spare).groupBy("category").agg(F.countDistinct("term").alias("n_terms"), F.min("term").alias("first"))
 
 
 _MAS = f"(select distinct record_id, entity_id, exchange, share_class, source_version from {MASTER})"
@@ -155,5 +158,5 @@ ORACLES = {
     "R40_membership": f"with m as (select entity_id, min(snapshot_date) entry_date, max(snapshot_date) exit_date, count(distinct snapshot_date) n from {MASTER} group by 1) select *, cast(rank() over (order by n desc) as int) rank from m",
     "S8_section_map": "select document_id, cast(count(*) as int) n_sections, md5(string_agg(text, chr(10) || chr(10) order by section_key)) digest from (select document_id, section_key, min(text) text from documents where document_id is not null and section_key is not null group by 1, 2) group by 1",
     "S7_whole_files": "select cast(sum(length(r_name) + 1) as int) n_chars from region",
-    "S10_U7_terms": "select * from (values ('uncertainty', 9), ('litigation', 6), ('negative', 9)) t(category, n_terms)",
+    "S10_U7_terms": "select r_name category, count(distinct lower(n_name)) n_terms, min(lower(n_name)) \"first\" from nation join region on n_regionkey = r_regionkey group by 1 union all select c, len(list_distinct(string_split(w, ' '))), list_min(string_split(w, ' ')) from (values " + ", ".join(f"('{c}', '{w}')" for c, w in texts.WORDS.items()) + ") t(c, w)",
 }

@@ -48,13 +48,8 @@ def _bench(s: SparkSession, d: str) -> DataFrame:
 
 
 def r5_labels(s: SparkSession, d: str) -> DataFrame:
-    e, p = events(s, d), _bench(s, d)
-    out = None
-    for kind in ("CAR", "realized_volatility"):
-        one = P.build_labels(e, p, -1, 1, 20, kind, ["doc_id"]).withColumn("target", F.lit(f"{kind}_1_20"))
-        one = one.select("doc_id", "target", "window_start", "window_end", "label_value", "failure")
-        out = one if out is None else out.unionByName(one)
-    return _round(out)
+    out = P.build_labels(events(s, d), _bench(s, d), -1, 1, 20, ["CAR", "realized_volatility"], ["doc_id"])
+    return _round(out.select("doc_id", F.concat("kind", F.lit("_1_20")).alias("target"), "window_start", "window_end", "label_value", "failure"))
 
 
 def r9_splits(s: SparkSession, d: str) -> DataFrame:

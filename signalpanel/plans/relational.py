@@ -122,6 +122,15 @@ def a23(s: SparkSession, d: str) -> DataFrame:
     return U.universe_quality(table(s, d, MASTER))
 
 
+def a23_findings(s: SparkSession, d: str) -> DataFrame:
+    return U.universe_findings(table(s, d, MASTER), table(s, d, "entity_link_history"))
+
+
+def a23_tickers(s: SparkSession, d: str) -> DataFrame:
+    """Historical tickers that several entities have."""
+    return U.duplicates(table(s, d, MASTER).withColumn("t", F.upper(F.trim("historical_ticker"))), "t", "entity_id")
+
+
 def _cover(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = events(s, d).select("doc_id", "ticker", F.year("event_date").alias("split_id"))
     both = e.withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
@@ -204,9 +213,10 @@ _UT = "upper(regexp_replace(ticker, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
 _COV = f"{EVENTS_SQL}, e as (select doc_id, ticker from events0), x as (select *, unnest(['m1', 'm2']) model from e), pr as (select * from x where not (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4))), fl as (select *, case when doc_id % 10 = 3 then 'missing_feature' else 'missing_model_prediction' end stage from x where (doc_id % 10 = 3 or (model = 'm2' and ticker % 9 = 4)))"
 _A20 = "select (select count(*) from x) n_expected, (select count(*) from pr) n_predicted, (select count(*) from e) n_eligible, round((select count(*) from pr) / (select count(*) from x), 6) expected_ratio, round((select count(*) from pr) / (select count(*) from e), 6) eligible_ratio"
 _CIK = "regexp_replace(trim(cik), '[^0-9]', '', 'g')"
+_SHARED = f"sh as (select upper(trim(historical_ticker, ' ')) \"value\", count(distinct entity_id) n from {MASTER} where trim(historical_ticker, ' ') <> '' group by 1 having count(distinct entity_id) > 1)"
 QUERIES = {
     "F5_F6_F7_F9_ids": f_ids, "F15_F39_identifiers": f15, "F16_acceptance_time": f16, "F13_F17_F20_filing_fields": f17, "F22_F26_F29_numbers": f26, "J1_inner": j1, "J4_last_wins": j4, "J9_interval_validity": j9, "J10_left": j10,
-    "J11_semi": j11, "J12_anti": j12, "J13_anti_pair": j13, "J14_expected": j14, "J16_next_session": j16, "J17_latest_link": j17, "R6_R7_event_day": r6, "W11_first_filing": w11, "W12_selection_rank": w12, "A23_universe_quality": a23,
+    "J11_semi": j11, "J12_anti": j12, "J13_anti_pair": j13, "J14_expected": j14, "J16_next_session": j16, "J17_latest_link": j17, "R6_R7_event_day": r6, "W11_first_filing": w11, "W12_selection_rank": w12, "A23_universe_quality": a23, "A23_universe_findings": a23_findings, "A23_shared_tickers": a23_tickers,
     "A20_R33_coverage": a20, "A22_failure_reasons": a22, "U1_U8_sets": u_sets, "O3_O4_top_rows": o3, "O7_extremes": o7, "R41_A27_adjusted_close": r41, "R39_market_cap": r39,
     "S1_S15_jsonl": s1, "S3_S18_csv": s3, "S9_flag_dictionary": s9, "S11_zip_arrays": s11, "S17_partitioned_matrix": s17,
 }
@@ -229,6 +239,14 @@ ORACLES = {
       select row_id, local_day, (select min(session_date) from market_sessions where session_date >= f and session_date <= f + 14) resolved_day from f""",
     "W11_first_filing": "select entity_id, fiscal_year, row_id, event_date from (select *, row_number() over (partition by entity_id, fiscal_year order by event_date, row_id) n from document_manifest where fiscal_year is not null) where n = 1",
     "W12_selection_rank": f"with {META_SQL} select ticker, sector, cast(row_number() over (partition by sector order by cap desc nulls last, ticker) as int) rank from meta",
+    "A23_shared_tickers": f"with {_SHARED} select * from sh",
+    "A23_universe_findings": f"""with {_SHARED}, en as (select entity_id, bool_or(gics_industry is not null) h from {MASTER} where entity_id is not null group by 1), u as (
+select 'entity_without_link' finding, 'blocker' severity, count(*) n from en where entity_id not in (select entity_id from entity_link_history where entity_id is not null)
+union all select 'inverted_name_period', 'blocker', count(*) from {MASTER} where name_end_date < name_start_date
+union all select 'reused_record_id', 'blocker', count(*) from (select record_id from (select distinct * from {MASTER}) group by 1 having count(*) > 1)
+union all select 'low_confidence_link', 'warning', count(*) from entity_link_history where coalesce(link_confidence < 0.8, true)
+union all select 'published_before_snapshot', 'warning', count(*) from {MASTER} where cast(available_time_utc as date) < snapshot_date
+union all select 'entity_without_industry', 'warning', count(*) from en where not h union all select 'shared_ticker', 'warning', count(*) from sh) select * from u where n > 0""",
     "A23_universe_quality": f"select count(*) n_rows, count(distinct entity_id) n_entities, count(*) filter (where permno is null) n_no_permno, count(*) filter (where gvkey is null) n_no_gvkey, count(*) filter (where gics_industry is null) n_no_industry, count(*) filter (where historical_ticker is null or trim(historical_ticker) = '') n_no_ticker, count(*) filter (where name_end_date < name_start_date) n_inverted, count(*) filter (where cast(available_time_utc as date) > snapshot_date + 60) n_late, count(*) - count(distinct record_id) n_repeated from {MASTER}",
     "A20_R33_coverage": f"with {_COV} {_A20}",
     "A22_failure_reasons": f"with {_COV} select stage, model, count(*) n from fl group by 1, 2 order by n desc, stage, model limit 10",

@@ -45,6 +45,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, missing_o
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def word_list(spark: SparkSession, path: str | None, fallback: dict[str, str]) -> DataFrame:
+    """(category, term) of a CSV with these columns, terms in lower case, each once; the words of ``fallback`` (by category, in one text) where no path is given or none is there.
+
+    A file with a header alone is an empty list, not a missing one. Spark reads the file anew for each query; cache the result to keep it.
+    """
+    if path is None or not path_exists(spark, path):
+        return spark.createDataFrame([(c, w) for c, ws in fallback.items() for w in dict.fromkeys(ws.lower().split())], "category string, term string")
+    words = read_csv(spark, path, "category string, term string")
+    return words.select(F.trim("category").alias("category"), F.lower(F.trim("term")).alias("term")).where("category <> '' and term <> ''").distinct()
+
+
 def flag_dictionary(wide: DataFrame, word: str, categories: list[str]) -> DataFrame:
     """(category, term) of a word x category table: a flag that is neither empty nor ``0`` includes the word."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in categories)

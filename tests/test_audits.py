@@ -47,3 +47,25 @@ def test_empty_coverage_and_families(spark):
     fam = S.family_report(specs)
     assert [(r.spec_role, r.n_tests, r.best_raw_spec, r.best_adjusted_p, r.found_5pct) for r in fam.orderBy("spec_role").collect()] == [("primary", 2, "b", 0.02, 1), ("robustness", 1, "c", 0.2, 0)]
     assert [s for _, s in status(A.disclosure(specs, S.registry(specs, fam), fam), A.disclosure(specs.where("spec_id = 'c'"), S.registry(specs, fam), fam))] == ["pass", "fail"]
+
+
+def test_universe_findings(spark):
+    schema = "entity_id string, record_id long, historical_ticker string, gics_industry string, name_start_date date, name_end_date date, snapshot_date date, available_time_utc timestamp"
+    links = spark.createDataFrame([("a", 0.9), ("a", None)], "entity_id string, link_confidence double")
+    d = "cast('2020-01-02' as date)"
+    master = spark.createDataFrame([("a", 1, "X"), ("a", 1, "X"), ("b", 2, " x"), ("b", 3, None)], "entity_id string, record_id long, historical_ticker string")
+    master = master.selectExpr("*", "cast(null as string) gics_industry", f"{d} name_start_date", f"{d} - 1 name_end_date", f"{d} snapshot_date", f"cast({d} as timestamp) available_time_utc")
+    got = {r.finding: (r.severity, r.n) for r in U.universe_findings(master, links).collect()}
+    assert got == {"entity_without_link": ("blocker", 1), "inverted_name_period": ("blocker", 4), "low_confidence_link": ("warning", 1), "entity_without_industry": ("warning", 2), "shared_ticker": ("warning", 1)}
+    assert U.universe_findings(spark.createDataFrame([], schema), links.limit(0)).count() == 0
+
+
+def test_word_list(spark, tmp_path):
+    from signalpanel.sources import files as L
+
+    spare = {"up": "Rise rise gain"}
+    assert sorted(map(tuple, L.word_list(spark, None, spare).collect())) == sorted(map(tuple, L.word_list(spark, str(tmp_path / "no.csv"), spare).collect())) == [("up", "gain"), ("up", "rise")]
+    (tmp_path / "w.csv").write_text("category,term\nup, Rise \nup,rise\n,x\ndown,\n")
+    assert [tuple(r) for r in L.word_list(spark, str(tmp_path / "w.csv"), spare).collect()] == [("up", "rise")]
+    (tmp_path / "e.csv").write_text("category,term\n")
+    assert L.word_list(spark, str(tmp_path / "e.csv"), spare).count() == 0

@@ -67,7 +67,7 @@ def test_labels_and_windows(spark):
     rows = [("AAPL", d, p) for d, p in zip(days, (99.0, 100.0, 102.0, 101.0, 104.0))] + [("SPY", d, p) for d, p in zip(days, (399.0, 400.0, 402.0, 404.0, 403.0))]
     panel = P.base_returns(spark.createDataFrame(rows, "ticker string, date date, price double"))
     ev = spark.createDataFrame([("AAPL", date(2023, 11, 2), 1), ("AAPL", date(2023, 11, 6), 2), ("NONE", date(2023, 11, 2), 3)], "ticker string, event_date date, doc_id int")
-    got = {r.doc_id: r for r in P.build_labels(ev, panel, "SPY", 1, 3, "CAR", ["doc_id"]).collect()}
+    got = {r.doc_id: r for r in P.build_labels(ev, panel, "SPY", 1, 3, ["CAR"], ["doc_id"]).collect()}
     assert (got[1].window_start, got[1].window_end) == (days[2], days[4])
     assert got[1].label_value == pytest.approx(log(104 / 100) - log(403 / 400))
     assert got[2].failure == got[3].failure == "insufficient_window" and got[2].label_value is None
