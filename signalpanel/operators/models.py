@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,73 +201,107 @@ def boosting(rows: DataFrame, keys: list[str], grid: tuple = TREES) -> DataFrame
 
 
 def truncated_svd(entries: DataFrame, scope: list[str], doc: str, term: str, value: str, components: int, fit: str = "true", passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
+    """``svd_of_rows`` of (doc, term, value) triplets; the condition ``fit`` says which rows the vectors are found on (train documents)."""
+    e = entries.select(*scope, doc, F.expr(fit).alias("fit"), F.col(term).cast("int").alias("t"), F.col(value).cast("double").alias("v"))
+    rows = e.groupBy(*scope, doc, "fit").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_x"))
+    return svd_of_rows(rows.select(*scope, doc, "fit", F.col("_x.t").alias("t"), F.col("_x.v").alias("v")), scope, doc, components, passes, tolerance, depth)
+
+
+def _document_blocks(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, fit, d (documents), u (their terms), at (row * terms + column), v: up to 128 documents of one scope and fit as a small matrix over the terms that they have."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.select([*scope, "fit"]).to_pandas().groupby([*scope, "fit"], sort=False, dropna=False).ngroup().to_numpy()
+            lists = batch.column("t")
+            ends, t, v = lists.offsets.to_numpy(), lists.values.to_numpy(), batch.column("v").values.to_numpy()
+            first = batch.column("v").offsets[0].as_py() - ends[0]
+            n, begin = np.diff(ends), ends[:-1]
+            for g in range(keys.max(initial=-1) + 1):
+                own = np.flatnonzero((keys == g) & (n > 0))
+                total, at = np.concatenate([[0], np.cumsum(n[own])]), 0
+                while at < len(own):  # entries are limited, too, for a dense block has documents x terms numbers
+                    end = min(at + 128, max(at + 1, int(np.searchsorted(total, total[at] + 65_536, "right")) - 1), len(own))
+                    part, k = own[at:end], n[own[at:end]]
+                    x = np.arange(k.sum()) + np.repeat(begin[part] - (np.cumsum(k) - k), k)
+                    u, col = np.unique(t[x], return_inverse=True)
+                    cell = np.repeat(np.arange(len(part)), k) * len(u) + col
+                    one = {c: batch.column(c).take(pa.array(part[:1])) for c in [*scope, "fit"]}
+                    d = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column("d").take(pa.array(part)))
+                    us = pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*one.values(), d, us, pa.array([cell.astype(np.int32).tobytes()]), pa.array([v[x + first].tobytes()])], [*one, "d", "u", "at", "v"])
+                    at = end
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in scope)
+    return rows.select(*scope, "d", "fit", "t", "v").mapInArrow(pack, f"{kinds}, fit boolean, d array<{rows.schema['d'].dataType.simpleString()}>, u array<int>, at binary, v binary")
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, terms and dense matrix of each row of blocks; entries of the same cell add up."""
+    d, u = batch.column("d"), batch.column("u")
+    for i in range(batch.num_rows):
+        terms, n = u[i].values.to_numpy(), len(d[i])
+        at, v = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("at", np.int32), ("v", np.float64)))
+        yield i, terms, np.bincount(at, v, n * len(terms)).reshape(n, len(terms))
+
+
+def svd_of_rows(rows: DataFrame, scope: list[str], doc: str, components: int, passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
     """scope, doc, component, score: documents on the leading min(components, rows - 1, columns - 1) right singular vectors of the fit rows.
 
-    entries are (doc, term, value) triplets; the condition ``fit`` says which rows the vectors are found on (train documents), and all are
+    rows are (scope, doc, fit, t ARRAY<INT>, v ARRAY<DOUBLE>), one for each document: its terms and their values. Vectors are found on those with ``fit``, and all are
     projected. Block Lanczos with ten spare vectors, full orthogonalisation, restarts and a fixed seed, scope by scope: a pass multiplies X'X by one
     terms-by-vectors block in parallel over documents; the last is when each eigenpair's residual is within ``tolerance`` of its own eigenvalue, or the
     pass number ``passes``. No term pairs are built and no task holds the documents; a task holds terms x (components + 10) numbers, the driver ``depth`` times that. Each vector's
-    sign makes its largest loading positive. Components of documents without entries are absent. Runs jobs when called; document rows stay cached.
+    sign makes its largest loading positive. Components of documents without entries are absent. Runs jobs when called; blocks of up to 128 documents stay cached.
     """
     from pyspark import StorageLevel
 
-    spark = entries.sparkSession
-    e = entries.select(*scope, F.col(doc).alias("d"), F.expr(fit).alias("_fit"), F.col(term).cast("int").alias("t"), F.col(value).cast("double").alias("v"))
-    pairs = F.sort_array(F.collect_list(F.struct("t", "v")))
-    per_doc = e.groupBy(*scope, "d", "_fit").agg(pairs.alias("x")).select(*scope, "d", "_fit", F.col("x.t").alias("t"), F.col("x.v").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    train = per_doc.where("_fit")
-    sizes = train.select(*scope, F.array_max("t").alias("m")).groupBy(*scope).agg(F.count("*").alias("n"), F.max("m").alias("m")).collect()
+    spark = rows.sparkSession
+    blocks = _document_blocks(rows.withColumnRenamed(doc, "d"), scope).persist(StorageLevel.MEMORY_AND_DISK)
+    train = blocks.where("fit")
+    sizes = train.groupBy(*scope).agg(F.sum(F.size("d")).alias("n"), F.max(F.array_max("u")).alias("m")).collect()
     # terms that no fit row has must not count as columns
-    columns = {tuple(r)[:-1]: r["c"] for r in train.select(*scope, F.explode("t").alias("t")).groupBy(*scope).agg(F.countDistinct("t").alias("c")).collect()}
-    kinds = ", ".join(f"{k} {entries.schema[k].dataType.simpleString()}" for k in scope)
+    columns = {tuple(r)[:-1]: r["c"] for r in train.select(*scope, F.explode("u").alias("t")).groupBy(*scope).agg(F.countDistinct("t").alias("c")).collect()}
     rng, block, todo, done = np.random.default_rng(0), 1000, {}, {}
     for r in sorted(sizes, key=lambda r: str(tuple(r))):
         key = tuple(r)[: len(scope)]
         k = max(0, min(components, r["n"] - 1, columns[key] - 1))
         if k:
-            todo[key] = (k, np.linalg.qr(rng.standard_normal((r["m"] + 1, min(k + 10, r["m"] + 1))))[0])
+            todo[key] = (k, r["m"] + 1)
 
-    def multiplied(q: dict) -> dict:
+    def multiplied(key: tuple, q: np.ndarray) -> np.ndarray:
         held = spark.sparkContext.broadcast(q)
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc = {}
-            for pdf in batches:
-                for key, g in pdf.groupby(scope, sort=False):
-                    key = tuple(x.item() if hasattr(x, "item") else x for x in key)
-                    if key not in held.value:
-                        continue
-                    own = held.value[key]
-                    z = acc.setdefault(key, np.zeros_like(own))
-                    for at in range(0, len(g), 64):
-                        part = g.iloc[at : at + 64]
-                        t, v = np.concatenate(part["t"].to_numpy()), np.concatenate(part["v"].to_numpy())
-                        n = part["t"].map(len).to_numpy()
-                        y = np.add.reduceat(v[:, None] * own[t], np.cumsum(n) - n)
-                        order = np.argsort(t, kind="stable")
-                        new = np.flatnonzero(np.diff(t[order], prepend=-1))
-                        z[t[order][new]] += np.add.reduceat((v[:, None] * np.repeat(y, n, axis=0))[order], new)
-            rows = [(*key, b, z[b * block : (b + 1) * block].tobytes()) for key, z in acc.items() for b in range(-(-len(z) // block))]
-            for at in range(0, len(rows), 8):
-                yield pd.DataFrame(rows[at : at + 8], columns=[*scope, "b", "z"])
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, z = held.value, None
+            for batch in batches:
+                for _, u, x in _matrices(batch):
+                    z = np.zeros_like(own) if z is None else z
+                    z[u] += x.T @ (x @ own[u])
+            for b in range(0 if z is None else -(-len(z) // block)):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([z[b * block : (b + 1) * block].tobytes()])], ["b", "z"])
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
             z = np.sum([np.frombuffer(x) for x in sorted(pdf["z"])], axis=0)
             return pdf.iloc[:1].assign(z=[z.tobytes()])
 
-        out = train.select(*scope, "t", "v").mapInPandas(partial, f"{kinds}, b int, z binary").groupBy(*scope, "b").applyInPandas(total, f"{kinds}, b int, z binary")
-        got = {k: np.zeros_like(v) for k, v in q.items()}
-        for r in out.toLocalIterator():
-            own = got[tuple(r)[: len(scope)]]
-            own[r["b"] * block : (r["b"] + 1) * block] = np.frombuffer(r["z"]).reshape(-1, own.shape[1])
+        own = train
+        for c, x in zip(scope, key):
+            own = own.where(F.col(c).eqNullSafe(F.lit(x)))
+        # a task for each core: each sends terms x vectors numbers
+        out = own.select("d", "u", "at", "v").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(partial, "b int, z binary").groupBy("b").applyInPandas(total, "b int, z binary")
+        got = np.zeros_like(q)
+        for r in out.collect():
+            got[r["b"] * block : (r["b"] + 1) * block] = np.frombuffer(r["z"]).reshape(-1, q.shape[1])
         held.destroy()
         return got
 
-    for key, (k, first) in todo.items():
-        basis, width = [first], first.shape[1]
+    for key, (k, m) in todo.items():
+        basis = [np.linalg.qr(rng.standard_normal((m, min(k + 10, m))))[0]]
+        width = basis[0].shape[1]
         proj = np.zeros((0, 0))  # the Gram matrix in the basis
         for i in range(passes):
-            z = multiplied({key: basis[-1]})[key]
+            z = multiplied(key, basis[-1])
             spark.sparkContext._jvm.System.gc()  # a pass's shuffle files go once its plan is collected; they would pile up else
             h = np.concatenate([q.T @ z for q in basis])
             old = len(proj)
@@ -297,22 +332,21 @@ def truncated_svd(entries: DataFrame, scope: list[str], doc: str, term: str, val
         done[key] = vec * np.sign(vec[np.argmax(np.abs(vec), axis=0), np.arange(k)])
     loads = spark.sparkContext.broadcast(done)
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, g in pdf.groupby(scope, sort=False):
-                key = tuple(x.item() if hasattr(x, "item") else x for x in key)
-                if key not in loads.value:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.select(scope).to_pylist()
+            for i, u, x in _matrices(batch):
+                v = loads.value.get(tuple(keys[i].values()))
+                if v is None:
                     continue
-                v = loads.value[key]
-                know = [x < len(v) for x in g["t"]]  # a term after the last fit term has no loading
-                y = np.stack([b[m] @ v[t[m]] for t, b, m in zip(g["t"], g["v"], know)])
-                n, k = y.shape
-                out = pd.DataFrame({"d": np.repeat(g["d"].to_numpy(), k), "component": np.tile(np.arange(k, dtype=np.int32), n), "score": y.ravel()})
-                for c, x in reversed(list(zip(scope, key))):
-                    out.insert(0, c, x)
-                yield out
-
-    return per_doc.select(*scope, "d", "t", "v").mapInPandas(project, f"{kinds}, d {e.schema['d'].dataType.simpleString()}, component int, score double").withColumnRenamed("d", doc)
+                know = u < len(v)  # a term after the last fit term has no loading
+                y = x[:, know] @ v[u[know]]
+                d = batch.column("d")[i].values
+                own = [pa.array([keys[i][c]] * len(d), batch.schema.field(c).type) for c in scope]
+                yield pa.RecordBatch.from_arrays([*own, d, pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))], [*scope, doc, "y"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*scope, doc])
+    return blocks.select(*scope, "d", "u", "at", "v").mapInArrow(project, f"{kinds}, y array<double>").select(*scope, doc, F.posexplode("y").alias("component", "score"))
 
 
 def model_manifest(assignments: DataFrame, keys: list[str], version: str, selection_metric: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalpanel.operators import features as T
 from signalpanel.operators import models as M
 from signalpanel.operators import panel as P
 from signalpanel.plans.base import EVENTS_SQL, META_SQL, events, meta
 from signalpanel.plans.evaluate import _round
-from signalpanel.plans.texts import COMPONENTS, split_docs, split_tfidf
+from signalpanel.plans.texts import COMPONENTS, FIT, GRAMS, split_docs
 from signalpanel.session import table
 
 
@@ -54,8 +55,8 @@ def r19(s: SparkSession, d: str) -> DataFrame:
 
 def r15(s: SparkSession, d: str) -> DataFrame:
     """Vectors from the train documents of each split, scores for all its documents."""
-    v = split_tfidf(s, d).join(split_docs(s, d).select("split_id", "doc_id", "role"), ["split_id", "doc_id"])
-    return _round(M.truncated_svd(v, ["split_id"], "doc_id", "term_index", "value", COMPONENTS, "role = 'train'"), 5)
+    rows = T.tfidf_rows(split_docs(s, d), ["split_id"], "text", *GRAMS, *FIT, "role = 'train'")
+    return _round(M.svd_of_rows(rows, ["split_id"], "doc_id", COMPONENTS), 5)
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
