@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -122,9 +122,9 @@ def _count_grams(pdf: pd.DataFrame, scope: list[str], low: int, high: int) -> _G
 
 
 def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Batches sorted by doc_id, cut anew between documents."""
+    """Batches sorted by doc_id, cut anew between documents after some 3,000 rows."""
     rest = None
-    for batch in batches:
+    for batch in (b.slice(at, 3_000) for b in batches for at in range(0, b.num_rows, 3_000)):
         pdf = batch.to_pandas(integer_object_nulls=True)
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         codes = pd.factorize(pdf["doc_id"], use_na_sentinel=False)[0]
@@ -136,12 +136,13 @@ def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame
         yield rest.reset_index(drop=True)
 
 
-def tfidf_rows(docs: DataFrame, scope: list[str], text: str, low: int, high: int, min_df: int, max_df: float, max_features: int, fit: str = "true") -> DataFrame:
+def tfidf_rows(docs: DataFrame, scope: list[str], text: str, low: int, high: int, min_df: int, max_df: float, max_features: int, fit: str = "true", then: tuple[Callable, str] | None = None) -> DataFrame:
     """scope, doc_id, fit, t ARRAY<INT>, v ARRAY<DOUBLE>: ``tfidf`` of all documents over the ``vocabulary`` of those with ``fit``, a row for each document with terms.
 
     Only texts are shuffled, never n-grams: a document's are counted in numpy where it lies, first to find the vocabularies, then to
     look them up in these, which are broadcast (at most ``max_features`` terms a scope). A document of several rows has the n-grams of all,
-    and ``fit`` if one of them has. Runs a job when called.
+    and ``fit`` if one of them has. ``then`` is a function of iterators of Arrow batches that takes these rows on in the same task, with the columns
+    that it gives. Runs a job when called.
     """
     use = docs.select(*scope, "doc_id", F.coalesce(F.expr(fit), F.lit(False)).alias("fit"), F.col(text).alias("text"))
     lie = lambda df: df.repartition("doc_id").sortWithinPartitions("doc_id", *scope)
@@ -166,29 +167,30 @@ def tfidf_rows(docs: DataFrame, scope: list[str], text: str, low: int, high: int
     train = use.where("fit")
     parts = lie(train).mapInArrow(counted, ", ".join(f"{k} {kinds[k]}" for k in scope) + ", term string, df long, tf long")
     stats = parts.groupBy(*scope, "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-    vocab: dict[tuple, tuple[dict, list]] = {}
-    for r in _most_frequent(stats, train, scope, min_df, max_df, max_features).select(*scope, "term", "term_index", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).toLocalIterator():
-        index, idf = vocab.setdefault(tuple(r)[:-3], ({}, []))
-        index[r[-3]] = (r[-2], len(idf))
-        idf.append(r[-1])
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    top = _most_frequent(stats, train, scope, min_df, max_df, max_features)
+    top = top.select(*scope, "term", "term_index", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")).toArrow().sort_by("term_index")
+    of = top.select(scope).to_pandas().groupby(scope, sort=False, dropna=False).ngroup().to_numpy()
+    each = [top.filter(pa.array(of == k)) for k in range(of.max(initial=-1) + 1)]
+    # a scope's terms lie in the order of their numbers
+    held = docs.sparkSession.sparkContext.broadcast({tuple(p.select(scope).slice(0, 1).to_pylist()[0].values()): (p["term"].combine_chunks(), p["idf"].to_numpy()) for p in each})
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
+        vocab = {k: ({w: i for i, w in enumerate(terms.to_pylist())}, idf) for k, (terms, idf) in held.value.items()}
         for pdf in _whole_documents(chain([first], batches)):
             g = _count_grams(pdf, scope, low, high)
-            of, ends = g.rows["of"].to_numpy(), np.searchsorted(g.row, np.arange(len(g.rows) + 1))
+            of = g.rows["of"].to_numpy()
             for k, (_, head) in enumerate(g.rows.drop_duplicates("of").iterrows()):
-                index, idf = held.value.get(tuple(head[c] for c in scope), ({}, []))
-                places = [index.get(w, (-1, -1)) for w in g.terms]
-                column, place = np.array(places, dtype=np.int64).reshape(-1, 2).T
+                index, idf = vocab.get(tuple(head[c] for c in scope), ({}, np.zeros(0)))
+                column = np.array([index.get(w, -1) for w in g.terms], dtype=np.int32)
                 mine = np.flatnonzero(of == k)
                 x = np.flatnonzero((of[g.row] == k) & (column[g.term] >= 0))
-                v = (1 + np.log(g.count[x])) * np.array(idf, dtype=float)[place[g.term[x]]]
+                t = column[g.term[x]]
+                v = (1 + np.log(g.count[x])) * idf[t]
                 norm = np.sqrt(np.bincount(g.row[x], v * v, minlength=len(g.rows)))
-                t, v = column[g.term[x]].astype(np.int32), v / norm[g.row[x]]
+                v /= norm[g.row[x]]
                 n = np.bincount(g.row[x], minlength=len(g.rows))
                 mine = mine[n[mine] > 0]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n[mine])]), pa.int32())
@@ -196,4 +198,5 @@ def tfidf_rows(docs: DataFrame, scope: list[str], text: str, low: int, high: int
                 cols = [pa.array(rows[c], first.schema.field(c).type, from_pandas=True) for c in [*scope, "doc_id", "fit"]]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(offsets, pa.array(t)), pa.ListArray.from_arrays(offsets, pa.array(v))], [*scope, "doc_id", "fit", "t", "v"])
 
-    return lie(use).mapInArrow(looked_up, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", fit boolean, t array<int>, v array<double>")
+    own = lambda batches: looked_up(batches) if then is None else then[0](looked_up(batches))
+    return lie(use).mapInArrow(own, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", fit boolean, t array<int>, v array<double>" if then is None else then[1])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 #: Trees, depth and learning rate.
@@ -201,14 +202,18 @@ def boosting(rows: DataFrame, keys: list[str], grid: tuple = TREES) -> DataFrame
 
 
 def truncated_svd(entries: DataFrame, scope: list[str], doc: str, term: str, value: str, components: int, fit: str = "true", passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
-    """``svd_of_rows`` of (doc, term, value) triplets; the condition ``fit`` says which rows the vectors are found on (train documents)."""
+    """``svd_of_blocks`` of (doc, term, value) triplets; the condition ``fit`` says which rows the vectors are found on (train documents)."""
     e = entries.select(*scope, doc, F.expr(fit).alias("fit"), F.col(term).cast("int").alias("t"), F.col(value).cast("double").alias("v"))
     rows = e.groupBy(*scope, doc, "fit").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_x"))
-    return svd_of_rows(rows.select(*scope, doc, "fit", F.col("_x.t").alias("t"), F.col("_x.v").alias("v")), scope, doc, components, passes, tolerance, depth)
+    blocks = rows.select(*scope, doc, "fit", F.col("_x.t").alias("t"), F.col("_x.v").alias("v")).mapInArrow(*document_blocks(entries.schema, scope, doc))
+    return svd_of_blocks(blocks, scope, doc, components, passes, tolerance, depth)
 
 
-def _document_blocks(rows: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, fit, d (documents), u (their terms), at (row * terms + column), v: up to 128 documents of one scope and fit as a small matrix over the terms that they have."""
+def document_blocks(schema: StructType, scope: list[str], doc: str) -> tuple[Callable, str]:
+    """A function of Arrow batches (scope, doc, fit, t, v), and the columns that it gives: scope, fit, d (documents), u (their terms), at (row * terms + column), v.
+
+    A row is a small matrix: up to 128 documents of one scope and fit over the terms that they have. schema has the types of scope and doc.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,13 +232,13 @@ def _document_blocks(rows: DataFrame, scope: list[str]) -> DataFrame:
                     u, col = np.unique(t[x], return_inverse=True)
                     cell = np.repeat(np.arange(len(part)), k) * len(u) + col
                     one = {c: batch.column(c).take(pa.array(part[:1])) for c in [*scope, "fit"]}
-                    d = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column("d").take(pa.array(part)))
+                    d = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column(doc).take(pa.array(part)))
                     us = pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u, pa.int32()))
                     yield pa.RecordBatch.from_arrays([*one.values(), d, us, pa.array([cell.astype(np.int32).tobytes()]), pa.array([v[x + first].tobytes()])], [*one, "d", "u", "at", "v"])
                     at = end
 
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in scope)
-    return rows.select(*scope, "d", "fit", "t", "v").mapInArrow(pack, f"{kinds}, fit boolean, d array<{rows.schema['d'].dataType.simpleString()}>, u array<int>, at binary, v binary")
+    kinds = ", ".join(f"{k} {schema[k].dataType.simpleString()}" for k in scope)
+    return pack, f"{kinds}, fit boolean, d array<{schema[doc].dataType.simpleString()}>, u array<int>, at binary, v binary"
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -245,19 +250,19 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield i, terms, np.bincount(at, v, n * len(terms)).reshape(n, len(terms))
 
 
-def svd_of_rows(rows: DataFrame, scope: list[str], doc: str, components: int, passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
+def svd_of_blocks(blocks: DataFrame, scope: list[str], doc: str, components: int, passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
     """scope, doc, component, score: documents on the leading min(components, rows - 1, columns - 1) right singular vectors of the fit rows.
 
-    rows are (scope, doc, fit, t ARRAY<INT>, v ARRAY<DOUBLE>), one for each document: its terms and their values. Vectors are found on those with ``fit``, and all are
+    blocks are those of ``document_blocks``; ``doc`` names the documents in the result. Vectors are found on those with ``fit``, and all are
     projected. Block Lanczos with ten spare vectors, full orthogonalisation, restarts and a fixed seed, scope by scope: a pass multiplies X'X by one
     terms-by-vectors block in parallel over documents; the last is when each eigenpair's residual is within ``tolerance`` of its own eigenvalue, or the
     pass number ``passes``. No term pairs are built and no task holds the documents; a task holds terms x (components + 10) numbers, the driver ``depth`` times that. Each vector's
-    sign makes its largest loading positive. Components of documents without entries are absent. Runs jobs when called; blocks of up to 128 documents stay cached.
+    sign makes its largest loading positive. Components of documents without entries are absent. Runs jobs when called; blocks stay cached.
     """
     from pyspark import StorageLevel
 
-    spark = rows.sparkSession
-    blocks = _document_blocks(rows.withColumnRenamed(doc, "d"), scope).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = blocks.sparkSession
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     train = blocks.where("fit")
     sizes = train.groupBy(*scope).agg(F.sum(F.size("d")).alias("n"), F.max(F.array_max("u")).alias("m")).collect()
     # terms that no fit row has must not count as columns
@@ -312,12 +317,12 @@ def svd_of_rows(rows: DataFrame, scope: list[str], doc: str, components: int, pa
             val, w = val[::-1], w[:, ::-1]
             for _ in range(2):
                 for q in basis:
-                    z = z - q @ (q.T @ z)
+                    z -= q @ (q.T @ z)
             left, sing, _ = np.linalg.svd(z, full_matrices=False)
             off = np.linalg.norm((left.T @ z) @ w[old:, :k], axis=0)
-            left = left[:, sing > 1e-9 * val[0]]
+            left, z = left[:, sing > 1e-9 * val[0]], None
             for q in basis:
-                left = left - q @ (q.T @ left)
+                left -= q @ (q.T @ left)
             if i == passes - 1 or not left.shape[1] or np.all(off <= tolerance * np.maximum(val[:k], 1e-9 * val[0])):
                 break
             if len(basis) < depth:
@@ -345,7 +350,7 @@ def svd_of_rows(rows: DataFrame, scope: list[str], doc: str, components: int, pa
                 own = [pa.array([keys[i][c]] * len(d), batch.schema.field(c).type) for c in scope]
                 yield pa.RecordBatch.from_arrays([*own, d, pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))], [*scope, doc, "y"])
 
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*scope, doc])
+    kinds = "".join(f"{k} {blocks.schema[k].dataType.simpleString()}, " for k in scope) + f"{doc} {blocks.schema['d'].dataType.elementType.simpleString()}"
     return blocks.select(*scope, "d", "u", "at", "v").mapInArrow(project, f"{kinds}, y array<double>").select(*scope, doc, F.posexplode("y").alias("component", "score"))
 
 

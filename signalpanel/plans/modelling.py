@@ -55,8 +55,9 @@ def r19(s: SparkSession, d: str) -> DataFrame:
 
 def r15(s: SparkSession, d: str) -> DataFrame:
     """Vectors from the train documents of each split, scores for all its documents."""
-    rows = T.tfidf_rows(split_docs(s, d), ["split_id"], "text", *GRAMS, *FIT, "role = 'train'")
-    return _round(M.svd_of_rows(rows, ["split_id"], "doc_id", COMPONENTS), 5)
+    docs = split_docs(s, d)
+    blocks = T.tfidf_rows(docs, ["split_id"], "text", *GRAMS, *FIT, "role = 'train'", M.document_blocks(docs.schema, ["split_id"], "doc_id"))
+    return _round(M.svd_of_blocks(blocks, ["split_id"], "doc_id", COMPONENTS), 5)
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
