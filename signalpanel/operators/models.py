@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -250,13 +251,21 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield i, terms, np.bincount(at, v, n * len(terms)).reshape(n, len(terms))
 
 
+def _on_disk(x: np.ndarray) -> np.ndarray:
+    """The same numbers in a file without a name, mapped; its pages needn't stay in memory."""
+    with tempfile.TemporaryFile() as f:
+        mapped = np.memmap(f, dtype=x.dtype, mode="w+", shape=x.shape)
+        mapped[:] = x
+    return np.asarray(mapped)
+
+
 def svd_of_blocks(blocks: DataFrame, scope: list[str], doc: str, components: int, passes: int = 30, tolerance: float = 1e-3, depth: int = 6) -> DataFrame:
     """scope, doc, component, score: documents on the leading min(components, rows - 1, columns - 1) right singular vectors of the fit rows.
 
     blocks are those of ``document_blocks``; ``doc`` names the documents in the result. Vectors are found on those with ``fit``, and all are
     projected. Block Lanczos with ten spare vectors, full orthogonalisation, restarts and a fixed seed, scope by scope: a pass multiplies X'X by one
     terms-by-vectors block in parallel over documents; the last is when each eigenpair's residual is within ``tolerance`` of its own eigenvalue, or the
-    pass number ``passes``. No term pairs are built and no task holds the documents; a task holds terms x (components + 10) numbers, the driver ``depth`` times that. Each vector's
+    pass number ``passes``. No term pairs are built and no task holds the documents; a task holds terms x (components + 10) numbers, the driver a few times that, and ``depth`` times in temporary files. Each vector's
     sign makes its largest loading positive. Components of documents without entries are absent. Runs jobs when called; blocks stay cached.
     """
     from pyspark import StorageLevel
@@ -296,13 +305,13 @@ def svd_of_blocks(blocks: DataFrame, scope: list[str], doc: str, components: int
         # a task for each core: each sends terms x vectors numbers
         out = own.select("d", "u", "at", "v").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(partial, "b int, z binary").groupBy("b").applyInPandas(total, "b int, z binary")
         got = np.zeros_like(q)
-        for r in out.collect():
+        for r in out.toLocalIterator():
             got[r["b"] * block : (r["b"] + 1) * block] = np.frombuffer(r["z"]).reshape(-1, q.shape[1])
         held.destroy()
         return got
 
     for key, (k, m) in todo.items():
-        basis = [np.linalg.qr(rng.standard_normal((m, min(k + 10, m))))[0]]
+        basis = [_on_disk(np.linalg.qr(rng.standard_normal((m, min(k + 10, m))))[0])]
         width = basis[0].shape[1]
         proj = np.zeros((0, 0))  # the Gram matrix in the basis
         for i in range(passes):
@@ -326,12 +335,12 @@ def svd_of_blocks(blocks: DataFrame, scope: list[str], doc: str, components: int
             if i == passes - 1 or not left.shape[1] or np.all(off <= tolerance * np.maximum(val[:k], 1e-9 * val[0])):
                 break
             if len(basis) < depth:
-                basis.append(np.linalg.qr(left)[0])
+                basis.append(_on_disk(np.linalg.qr(left)[0]))
                 continue
             # the best vectors so far are kept, with what the last pass adds to them
             keep, ends = w[:, :width], np.cumsum([0, *[q.shape[1] for q in basis]])
             best = sum(q @ keep[x:y] for q, x, y in zip(basis, ends, ends[1:]))
-            basis, proj = [best, np.linalg.qr(left)[0]], np.diag(val[:width])
+            basis, proj = [_on_disk(best), _on_disk(np.linalg.qr(left)[0])], np.diag(val[:width])
         ends = np.cumsum([0, *[q.shape[1] for q in basis]])
         vec = sum(q @ w[x:y, :k] for q, x, y in zip(basis, ends, ends[1:]))
         done[key] = vec * np.sign(vec[np.argmax(np.abs(vec), axis=0), np.arange(k)])
